@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportlake.llm import bpe, chat, exact, minhash, mixing, sharding
+from reportlake.llm import bpe, chat, exact, langid, minhash, mixing, sharding
+from reportlake.llm.common import crc_mod5
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,6 +113,13 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM d WINDOW w AS (PARTITION BY t)
 """
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.learned(docs.where(crc_mod5() != 0))
+    found = langid.identified(docs, model)
+    return found.select("doc_id", (F.coalesce(crc_mod5(), F.lit(0)) == 0).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_bpe": op2_bpe,
@@ -119,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_shards": op4_shards,
     "op7_mix": op7_mix,
     "op8_exact": op8_exact,
+    "op9_langid": op9_langid,
 }
 
 SQL: dict[str, str] = {"op1_minhash": OP1_SQL, "op3_chat": OP3_SQL, "op7_mix": OP7_SQL, "op8_exact": OP8_SQL}
