@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportlake.llm import bpe, chat, exact, langid, minhash, mixing, sharding
+from reportlake.llm import bpe, chat, exact, langid, minhash, mixing, quality, sharding
 from reportlake.llm.common import crc_mod5
 
 
@@ -74,6 +74,13 @@ def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(_table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels").where(crc_mod5() != 0)
+    rated = quality.rated(_table(spark, sf_dir, "documents"), labels)
+    held_out = F.coalesce(crc_mod5(), F.lit(0)) == 0
+    return rated.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = mixing.plan(_table(spark, sf_dir, "documents"))
     return drawn.select("doc_id", "size", "source_size", "target", "taken")
@@ -125,6 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_chat": op3_chat,
     "op4_shards": op4_shards,
+    "op5_quality": op5_quality,
     "op7_mix": op7_mix,
     "op8_exact": op8_exact,
     "op9_langid": op9_langid,
