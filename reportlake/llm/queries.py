@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportlake.llm import bpe, chat, exact, langid, minhash, mixing, quality, sharding
+from reportlake.llm import bpe, capfilters, chat, exact, langid, minhash, mixing, quality, sharding
 from reportlake.llm.common import crc_mod5
 
 
@@ -127,6 +127,10 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.coalesce(crc_mod5(), F.lit(0)) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op10_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capfilters.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_bpe": op2_bpe,
@@ -136,6 +140,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mix": op7_mix,
     "op8_exact": op8_exact,
     "op9_langid": op9_langid,
+    "op10_caps": op10_caps,
 }
 
 SQL: dict[str, str] = {"op1_minhash": OP1_SQL, "op3_chat": OP3_SQL, "op7_mix": OP7_SQL, "op8_exact": OP8_SQL}
