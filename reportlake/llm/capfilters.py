@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from reportlake.llm.common import stored
 from reportlake.llm.components import components
 
-#: Vectors without clusters in a cap, about; codes with rotations of their own; chance that a pair at the limit is missed.
-CAP_SIZE, CODES, MISS = 12, 2, 0.001
+#: Vectors without clusters in a cap, about; codes, each with a rotation of its own, which even out how many filters a
+#: vector passes; chance that a pair at the limit is missed.
+CAP_SIZE, CODES, MISS = 64, 16, 0.002
 #: Vectors in a block of a large cap: a unit of work has two blocks at most.
 BLOCK = 1024
 
@@ -43,7 +44,7 @@ class Codes:
         self.dim, self.half = dim, max(1, (dim + 1) // 2)
         pairs = self._pairs(rng, 1500, cosine)
         for due in (12, 16, 20, 24, 30, 36, 44, 54, 66, 80, 100, 130):
-            self.words = int(min(4096, max(24, np.ceil(np.sqrt(n * due / (CODES * CAP_SIZE))))))
+            self.words = int(min(4096, max(4, np.ceil(np.sqrt(n * due / (CODES * CAP_SIZE))))))
             self.rotations = [np.linalg.qr(rng.standard_normal((2 * self.half, 2 * self.half)))[0] for _ in range(CODES)]
             self.codes = [[_unit(rng.standard_normal((self.words, self.half))) for _ in range(2)] for _ in range(CODES)]
             self.level = self._level(pairs[0][:300], due)
@@ -112,7 +113,7 @@ def _listed(codes: Codes):
                 filters = codes.filters(_matrix(part.column(1), codes.dim))
                 lens = np.concatenate([[0], np.cumsum([len(f) for f in filters])]).astype(np.int32)
                 flat = np.concatenate(filters) if filters else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(3)), pa.ListArray.from_arrays(pa.array(lens), pa.array(flat, pa.int64()))], ["id", "v", "weight", "filters"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(3)), pa.ListArray.from_arrays(pa.array(lens), pa.array(flat.astype(np.int32)))], ["id", "v", "weight", "filters"])
 
     return run
 
@@ -213,7 +214,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
     for dim, n in sorted(sizes.items()):
         codes = Codes(dim, n, cosine)
         kind = nodes.schema["v"].dataType.simpleString()
-        listed = stored(nodes.where(F.size("v") == dim).select("id", "v", "weight").mapInArrow(_listed(codes), f"id long, v {kind}, weight long, filters array<long>"), f"filters_{dim}")
+        listed = stored(nodes.where(F.size("v") == dim).select("id", "v", "weight").mapInArrow(_listed(codes), f"id long, v {kind}, weight long, filters array<int>"), f"filters_{dim}")
         each = listed.select(F.explode("filters").alias("filter"), "id", "weight", "v", "filters")
         total = listed.agg(F.coalesce(F.sum(F.size("filters")), F.lit(0))).first()[0]
         # at most 10,000 caps can hold over a ten-thousandth of all rows, so the table of large caps is small

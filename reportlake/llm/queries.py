@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportlake.llm import bpe, capfilters, chat, exact, langid, minhash, mixing, quality, sharding
+from reportlake.llm import bpe, capfilters, chat, exact, langid, minhash, mixing, pii, quality, sharding
 from reportlake.llm.common import crc_mod5
 
 
@@ -81,6 +81,13 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = pii.found(_table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS[:4])]
+    both = pii.joined(F.concat("base", "terms"))
+    return got.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), both.alias("spans"))
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = mixing.plan(_table(spark, sf_dir, "documents"))
     return drawn.select("doc_id", "size", "source_size", "target", "taken")
@@ -137,6 +144,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat": op3_chat,
     "op4_shards": op4_shards,
     "op5_quality": op5_quality,
+    "op6_pii": op6_pii,
     "op7_mix": op7_mix,
     "op8_exact": op8_exact,
     "op9_langid": op9_langid,
