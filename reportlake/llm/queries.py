@@ -83,7 +83,8 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = pii.found(_table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS[:4])]
+    of = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    counts = [of(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS[:4])]
     both = pii.joined(F.concat("base", "terms"))
     return got.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), both.alias("spans"))
 
