@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reportlake.llm.common import stored
+from reportlake.llm.common import least_reachable, sorted_runs, stored
 from reportlake.llm.components import components
 
 #: Vectors without clusters in a cap, about; codes, each with a rotation of its own, which even out how many filters a
@@ -127,13 +127,7 @@ def _unit_of_work(filter_: int, x: np.ndarray, block: np.ndarray, weight: np.nda
         linked &= block[:, None] != block[None, :]
     if not linked.any():
         return None
-    root = np.arange(n)
-    while True:  # least row reachable
-        least = np.minimum(root, np.where(linked, root[None, :], n).min(1))
-        least = least[least]
-        if (least == root).all():
-            break
-        root = least
+    root = least_reachable(linked)
     # pairs that share a smaller filter are counted there
     touched = np.flatnonzero(linked.any(1))
     owner = np.repeat(touched, [int(np.searchsorted(filters[r], filter_)) for r in touched])
@@ -150,54 +144,30 @@ def _unit_of_work(filter_: int, x: np.ndarray, block: np.ndarray, weight: np.nda
 
 
 def _worked(dim: int, cosine: float):
-    """Rows sorted by (filter, i, j) in, runs of one unit out: id, links, root."""
+    """Rows sorted by (filter, i, j) in, units of work out: id, links, root."""
 
     def unit(table: pa.Table):
         ids = table.column("id").to_numpy()
         filters = table.column("filters").combine_chunks()
         filters = np.split(filters.flatten().to_numpy(), filters.value_lengths().to_numpy().cumsum()[:-1])
         got = _unit_of_work(table.column("filter")[0].as_py(), _matrix(table.column("v").combine_chunks(), dim), table.column("block").to_numpy(), table.column("weight").to_numpy(), filters, table.column("i")[0].as_py(), table.column("j")[0].as_py(), cosine)
-        if got is not None:
-            some = np.flatnonzero((got[0] > 0) | (got[1] != np.arange(len(ids))))
-            return ids[some], got[0][some], ids[got[1][some]]
-        return None
+        if got is None:
+            return None
+        some = np.flatnonzero((got[0] > 0) | (got[1] != np.arange(len(ids))))
+        return ids[some], got[0][some], ids[got[1][some]]
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
-        last = None
-
-        def flush():
-            nonlocal held
-            if not held:
-                return
-            table = pa.Table.from_batches(held)
-            held = []
-            key = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("filter", "i", "j")])
-            heads = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(0)))
-            ends = np.append(heads[1:], table.num_rows)
-            table = table.combine_chunks()
-            out = [x for a, b in zip(heads, ends, strict=True) if b - a > 1 for x in [unit(table.slice(a, b - a))] if x is not None]
-            if out:
+        out, n = [], 0
+        for table in sorted_runs(batches, ["filter", "i", "j"]):
+            got = unit(table) if table.num_rows > 1 else None
+            if got is not None:
+                out.append(got)
+                n += len(got[0])
+            if n > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[c] for x in out])) for c in range(3)], ["id", "links", "root"])
-
-        for batch in batches:
-            # a run may go on in the next batch: the rows of the last one wait
-            if not batch.num_rows:
-                continue
-            key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(3)])
-            end = tuple(key[:, -1])
-            same = (key == key[:, -1:]).all(0)
-            start = int(np.argmin(same[::-1])) if not same.all() else len(same)
-            start = len(same) - start if not same.all() else 0
-            if start or end != last:
-                if start or (held and tuple(key[:, 0]) != last):
-                    held.append(batch.slice(0, start))
-                    yield from flush()
-                held.append(batch.slice(start))
-            else:
-                held.append(batch)
-            last = end
-        yield from flush()
+                out, n = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[c] for x in out])) for c in range(3)], ["id", "links", "root"])
 
     return run
 

@@ -176,3 +176,37 @@ def row_word_hashes(column: pa.Array):
             a = b
         hashes = np.concatenate(found)
         yield i, j, hashes, np.array([0, len(hashes)])
+
+
+def sorted_runs(batches, keys: list[str]):
+    """Tables of the rows that agree on keys, for record batches sorted by them; a run may span batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False).astype(np.int64) for k in keys])
+        heads = np.flatnonzero(np.append(last is None or tuple(key[:, 0]) != last, (key[:, 1:] != key[:, :-1]).any(0)))
+        last = tuple(key[:, -1])
+        at = 0
+        for h in heads:
+            if h > at:
+                held.append(batch.slice(at, h - at))
+            if held:
+                yield pa.Table.from_batches(held).combine_chunks()
+            held, at = [], int(h)
+        held.append(batch.slice(at))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def least_reachable(linked: np.ndarray) -> np.ndarray:
+    """For a symmetric matrix of links, the least row that each row reaches."""
+    n = len(linked)
+    root = np.arange(n)
+    while True:
+        least = np.minimum(root, np.where(linked, root[None, :], n).min(1))
+        least = least[least]
+        if (least == root).all():
+            return root
+        root = least

@@ -5,15 +5,15 @@ a 64-bit mixing of the shingle's hash, spreads the set over a circle of D slots;
 pi of the slots, and coordinate j of the signature is the least of pi over the slots after a circular shift by
 j. Since the shifts of a slot are neighbours in pi, all coordinates of a shingle are one contiguous read.
 
-Signatures are cut into bands; documents that agree on a band are candidates. Every candidate link is confirmed
-on the full sets of shingle hashes. No bucket is expanded into all its pairs: first each member meets the
-least of its bucket; then only members that are still in different components, and not ruled out by size or by
-their signatures, meet each other. Skipped pairs are in one component already, so components lose no link.
-Documents with the same set are one node from the start, found by a 128-bit hash of the set.
+Signatures are cut into bands; documents that agree on a band are candidates. Every link is confirmed on the full
+sets of shingle hashes. No bucket is expanded into all its pairs: each member first meets the head of its bucket,
+the most central one; the buckets of one head are one group. Members that these links leave outside their head's
+component then meet the others of their group, in units of two blocks, where one matrix product gives the sizes
+of all intersections and only spanning edges leave. Pairs that are skipped are in one component already, so
+components lose no link. Documents with the same set are one node from the start, found by a 128-bit hash of the set.
 
 What the bands miss: at a similarity of 0.8 a pair shares none of BANDS bands of ROWS coordinates with a chance
-of (1 - 0.8 ** ROWS) ** BANDS = 3e-5. Signatures that agree in under ESTIMATE of their coordinates are not
-compared; at 0.8 that is over five standard deviations below the mean.
+of (1 - 0.8 ** ROWS) ** BANDS = 3e-5.
 
 Defined results: null and empty texts, and texts of white space, have the empty set and link with nothing; with
 fewer than k words the whole sequence is the one shingle. Very long texts keep their full sets. Rows that share
@@ -31,14 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reportlake.llm.common import mix64, row_word_hashes, stored
+from reportlake.llm.common import least_reachable, mix64, row_word_hashes, sorted_runs, stored
 from reportlake.llm.components import components
 
 BANDS, ROWS = 26, 5
 COORDINATES = BANDS * ROWS
 #: log2 of the number of slots on the circle.
 CIRCLE = 20
-ESTIMATE = 0.6
+#: Members and shingles in a block, about; a unit of work has two blocks at most.
+BLOCK, WEIGHT = 512, 150_000
 #: log2 of the bits of the map that tells which documents' sets are wanted; a fixed size, false hits cost only work.
 WANTED = 23
 
@@ -141,21 +142,100 @@ def _bitmap(ids: DataFrame) -> bytes:
     return found.tobytes()
 
 
-def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of pairs(a, b), those whose sets share at least percent of their union."""
-    side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sign").alias(f"s{x}"))
-    agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    likely = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).where(agree >= int(ESTIMATE * COORDINATES * percent / 80))
-    likely = stored(likely.select("a", "b", "na", "nb"), "likely")
-    ids = likely.select(F.explode(F.array("a", "b")).alias("id")).where("id IS NOT NULL")
+def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """id and shingles of the documents with these ids, and of a few others."""
     bits = docs.sparkSession.sparkContext.broadcast(_bitmap(ids))
-    sets = stored(docs.mapInArrow(_wanted_sets(bits, k), "id long, shingles array<long>"), "sets")
+    return stored(docs.mapInArrow(_wanted_sets(bits, k), "id long, shingles array<long>"), "sets")
+
+
+def _confirmed(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs(a, b), those whose sets share at least percent of their union."""
+    size = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"))
+    likely = pairs.join(size("a"), "a").join(size("b"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     whole = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"t{x}"))
     both = likely.join(whole("b"), "b").join(whole("a"), "a")
     shared = F.size(F.array_intersect("ta", "tb"))
     return both.where(100 * shared >= percent * (F.col("na") + F.col("nb") - shared)).select("a", "b")
 
 
+def _shared(sets: list[np.ndarray], split: int) -> np.ndarray:
+    """Sizes of the intersections of sets[:split] with sets[split:], or of all with all if split is 0."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, holders = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.cumsum(holders > 1) - 1
+    owner, column = owner[holders[column] > 1], place[column[holders[column] > 1]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((split or len(sets), len(sets) - split), np.float64)
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+        lo, hi = np.searchsorted(column, [a, a + 2048])
+        table = np.zeros((len(sets), 2048), np.float32)
+        table[owner[lo:hi], column[lo:hi] - a] = 1
+        out += table[: split or None] @ table[split:].T
+    return out
+
+
+def _met(percent: int):
+    """Rows sorted by (head, kind, i, j) in; links between members that are still apart out, as spanning edges.
+
+    A unit of kind 0 holds two blocks of strays, one of kind 1 a block of strays and one of settled members.
+    """
+
+    def edges(table: pa.Table):
+        table = table.sort_by([("settled", "ascending"), ("id", "ascending")])
+        ids, settled = table.column("id").to_numpy(), table.column("settled").to_numpy()
+        lists = table.column("shingles").combine_chunks()
+        sets = np.split(lists.flatten().to_numpy(), lists.value_lengths().to_numpy().cumsum()[:-1])
+        split = int((settled == 0).sum()) if table.column("kind")[0].as_py() else 0
+        if split == len(ids):
+            return ids[:0], ids[:0]
+        size = np.array([len(s) for s in sets], np.float64)
+        shared = _shared(sets, split)
+        linked = 100 * shared >= percent * (size[: split or None, None] + size[None, split:] - shared)
+        if split:
+            row = np.flatnonzero(linked.any(1))
+            return ids[row], ids[split + linked[row].argmax(1)]
+        np.fill_diagonal(linked, False)
+        root = least_reachable(linked)
+        row = np.flatnonzero(root != np.arange(len(ids)))
+        return ids[row], ids[root[row]]
+
+    def run(batches):
+        for table in sorted_runs(batches, ["head", "kind", "i", "j"]):
+            if table.num_rows > 1:
+                a, b = edges(table)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return run
+
+
+def _apart(met: DataFrame, label: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between members of a head's group that the links so far leave in different components.
+
+    Settled members are in the head's component, strays aren't. Strays meet strays and settled members in units
+    of two blocks; settled members needn't meet each other, and a group without strays is done.
+    """
+    of = lambda x: label.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
+    rows = met.join(of("head"), "head", "left").join(of("id"), "id", "left").join(reps.select(F.col("rep").alias("id"), "n"), "id")
+    rows = rows.select("head", "id", "n", (F.coalesce("c_id", "id") == F.coalesce("c_head", "head")).cast("int").alias("settled"))
+    rows = stored(rows, "groups")
+    blocks = lambda who: F.ceil(F.greatest(F.sum(who) / BLOCK, F.sum(who * F.col("n")) / WEIGHT)).cast("int")
+    stray = 1 - F.col("settled")
+    parts = rows.groupBy("head").agg(F.sum(stray).alias("strays"), F.sum("settled").alias("rest"), blocks(stray).alias("gs"), blocks(F.col("settled")).alias("gt"))
+    parts = parts.where("strays > 1 OR strays = 1 AND rest > 1").select("head", "gs", "gt")
+    rows = rows.join(parts, "head")
+    own = F.when(F.col("settled") == 0, F.col("gs")).otherwise(F.col("gt"))
+    rows = rows.withColumn("o", F.pmod(F.xxhash64("id"), own).cast("int"))
+    unit = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    strays = F.concat(F.transform(upto("gs"), lambda x: unit(0, F.least("o", x), F.greatest("o", x))), F.transform(upto("gt"), lambda x: unit(1, F.col("o"), x)))
+    rest = F.transform(upto("gs"), lambda x: unit(1, x, F.col("o")))
+    rows = rows.withColumn("u", F.explode(F.when(F.col("settled") == 0, strays).otherwise(rest))).select("head", "u.kind", "u.i", "u.j", "id", "settled")
+    rows = rows.join(sets, "id").select("head", "kind", "i", "j", "id", "settled", "shingles")
+    return rows.repartition("head", "kind", "i", "j").sortWithinPartitions("head", "kind", "i", "j").mapInArrow(_met(percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (least id reachable), kept. Links: similarity of at least percent / 100."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -165,25 +245,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     band = lambda i: F.xxhash64(i, F.slice("sign", i * ROWS + 1, F.lit(ROWS)))
     buckets = reps.select(F.col("rep").alias("id"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("bucket"))
-    least = buckets.groupBy("bucket").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    members = stored(buckets.join(least, "bucket"), "members")
-    tried = stored(members.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), "tried")
-    links = stored(_confirmed(tried, reps, docs, k, percent), "links")
+    crowds = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = stored(buckets.join(crowds, "bucket"), "members")
+    # the head of a bucket is its most central member: the one that meets most others over all its buckets
+    central = members.groupBy("id").agg(F.sum("size").alias("met"))
+    heads = members.join(central, "id").groupBy("bucket").agg(F.max(F.struct("met", (-F.col("id")).alias("less"))).alias("m")).select("bucket", (-F.col("m.less")).alias("head"))
+    # all that share a bucket are in the group of its head
+    met = stored(members.select("bucket", "id").join(heads, "bucket").select("head", "id").distinct(), "met")
+    sets = _sets(docs, met.select("id"), k)
+    links = stored(_confirmed(met.where("head <> id").select(F.col("head").alias("a"), F.col("id").alias("b")), reps, sets, percent), "links")
     label = components(links)
-
-    # members of a bucket that are still apart
-    of = members.join(label.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "head", F.coalesce("component", "id").alias("c"))
-    of = stored(of, "labelled")
-    heads = of.where("id = head").select("bucket", F.col("c").alias("ch")).distinct()
-    of = of.join(heads, "bucket")
-    apart = of.where("c <> ch")
-    mixed = of.join(apart.select("bucket").distinct(), "bucket", "left_semi")
-    x, y = apart.alias("x"), mixed.where("id <> head").alias("y")
-    meet = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.ch")) | (F.col("x.id") < F.col("y.id"))))
-    late = meet.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    late = stored(late, "late")
-    if not late.isEmpty():
-        more = stored(_confirmed(late, reps, docs, k, percent), "more_links")
+    more = stored(_apart(met, label, reps, sets, percent), "more_links")
+    if not more.isEmpty():
         label = components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     home = reps.select("print", "rep").join(label, F.col("rep") == F.col("node"), "left").select("print", F.coalesce("component", "rep").alias("component_id"))
