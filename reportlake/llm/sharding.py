@@ -1,9 +1,9 @@
 """Sharding by sampled splitters, with near-equal bytes.
 
 Records are ordered by (hash of the text, id), so equal texts lie side by side. A size-weighted sample of these
-keys gives the quantile boundaries of many small ranges; a boundary moves to the start of its text's group unless
-the group itself is larger than a range, so small groups of equal texts stay whole. Exact sizes of the ranges are
-then summed; a range that came out overfull is subdivided by boundaries from a denser sample of that range alone.
+keys gives the quantile boundaries of many small ranges; a boundary moves to the start of its text's group unless the
+group itself is larger than a range. The ranges of such a group go to one shard together unless they fill half of it, so
+equal texts share a shard except in groups too large for one. Exact sizes of the ranges are summed; a range that came out overfull is subdivided by boundaries from a denser sample of that range alone.
 Neighbouring ranges fill the shards, and overfull shards hand ranges to underfull ones until no move helps.
 
 Only the sample, whose expected size is a parameter, and the sizes of the ranges reach the driver. The tasks of the
@@ -27,6 +27,8 @@ from reportlake.llm.common import stored
 RANGES, SAMPLES = 64, 12
 #: A range of over this many times its due size is subdivided, at most so many times.
 OVERFULL, ROUNDS = 2.0, 4
+#: A group of equal texts of up to this part of a shard stays in one shard.
+WHOLE = 0.5
 LOWEST = -(2**63)
 
 
@@ -64,12 +66,14 @@ def _quantiles(sample: list[tuple[int, int, float]], n: int) -> list[tuple[int,
     return sorted({sample[min(int(i), len(sample) - 1)][:2] for i in at})
 
 
-def _whole_groups(splitters: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """A hash with one splitter has a group smaller than a range: the boundary goes to its start."""
+def _snapped(cuts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """A hash with one cut has a group smaller than a range: the cut goes to its start. The group of a hash with
+    more is parted where the cuts are, and set apart from its neighbours."""
     seen: dict[int, int] = {}
-    for h, _ in splitters:
+    for h, _ in cuts:
         seen[h] = seen.get(h, 0) + 1
-    return sorted({(h, LOWEST if seen[h] == 1 else d) for h, d in splitters})
+    out = {(h, LOWEST) for h in seen} | {(h, d) for h, d in cuts if seen[h] > 1} | {(h + 1, LOWEST) for h in seen if seen[h] > 1 and h < 2**63 - 1}
+    return sorted(out)
 
 
 def _sample(rows: DataFrame, most: int, total: int) -> list[tuple[int, int, float]]:
@@ -79,27 +83,42 @@ def _sample(rows: DataFrame, most: int, total: int) -> list[tuple[int, int, floa
     return [tuple(r) for r in rows.where(draw < chance).select("_hash", "_id", F.greatest(chance, F.lit(1.0))).collect()]
 
 
-def _deal(sizes: dict[int, int], shards: int) -> dict[int, int]:
+def _units(ranges: list[int], splitters: list[tuple[int, int]], sizes: dict[int, int], most: float) -> list[list[int]]:
+    """Ranges that go to a shard together: the parts of a group of equal texts, unless it is larger than `most`."""
+    parted = {h for h, d in splitters if d != LOWEST}
+    out: list[list[int]] = []
+    last = None
+    for r in ranges:
+        h = splitters[r - 1][0] if r else None
+        if h in parted and h == last:
+            out[-1].append(r)
+        else:
+            out.append([r])
+        last = h
+    return [v for u in out for v in ([u] if len(u) == 1 or sum(sizes[r] for r in u) <= most else [[r] for r in u])]
+
+
+def _deal(units: list[list[int]], sizes: dict[int, int], shards: int) -> dict[int, int]:
     """Shard of each range: neighbours together by prefix sums, then the moves that even out the shards."""
-    order, total = sorted(sizes), sum(sizes.values())
-    out, gone = {}, 0
-    for r in order:
-        out[r] = min(shards - 1, int((gone + sizes[r] / 2) * shards / max(total, 1)))
-        gone += sizes[r]
+    size = [sum(sizes[r] for r in u) for u in units]
+    total, gone, home = sum(size), 0, []
+    for s in size:
+        home.append(min(shards - 1, int((gone + s / 2) * shards / max(total, 1))))
+        gone += s
     load = [0] * shards
-    for r, s in out.items():
-        load[s] += sizes[r]
-    for _ in range(8 * len(order)):
+    for s, h in zip(size, home, strict=True):
+        load[h] += s
+    for _ in range(8 * len(units)):
         high, low = max(range(shards), key=load.__getitem__), min(range(shards), key=load.__getitem__)
         gap = load[high] - load[low]
-        fits = [r for r in order if out[r] == high and 0 < sizes[r] < gap]
+        fits = [u for u in range(len(units)) if home[u] == high and 0 < size[u] < gap]
         if not fits:
             break
-        r = min(fits, key=lambda r: abs(gap - 2 * sizes[r]))
-        out[r] = low
-        load[high] -= sizes[r]
-        load[low] += sizes[r]
-    return out
+        u = min(fits, key=lambda u: abs(gap - 2 * size[u]))
+        home[u] = low
+        load[high] -= size[u]
+        load[low] += size[u]
+    return {r: h for u, h in zip(units, home, strict=True) for r in u}
 
 
 def sharded(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", ranges: int = RANGES, samples: int = SAMPLES) -> DataFrame:
@@ -110,7 +129,7 @@ def sharded(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col:
     total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     n = min(shards * ranges, max(count, 1))
     # where rows are few, every key is drawn and so each row can be its own range
-    splitters = _whole_groups(_quantiles(_sample(rows, n * samples, total), n))
+    splitters = _snapped(_quantiles(_sample(rows, n * samples, total), n))
     due = total / n
     for left in range(ROUNDS, -1, -1):
         placed = rows.withColumn("_range", _range_of(splitters) if splitters else F.lit(0))
@@ -124,11 +143,12 @@ def sharded(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col:
         of = find(np.array([x[0] for x in extra], np.int64), np.array([x[1] for x in extra], np.int64)) if extra else []
         new = set(splitters)
         for r in over:
-            new |= set(_quantiles([x for x, k in zip(extra, of, strict=True) if k == r], int(found[r][0] / due) + 1))
+            new |= set(_snapped(_quantiles([x for x, k in zip(extra, of, strict=True) if k == r], int(found[r][0] / due) + 1)))
         if len(new) == len(splitters):
             break
         splitters = sorted(new)
-    home = _deal({r: s for r, (s, _) in found.items()}, shards)
+    sizes = {r: s for r, (s, _) in found.items()}
+    home = _deal(_units(sorted(found), splitters, sizes, WHOLE * total / shards), sizes, shards)
     start, filled = {}, [0] * shards
     for r in sorted(found):
         start[r] = filled[home[r]]
