@@ -2,8 +2,9 @@
 
 A public tokenizer's pieces never cross ASCII white space, so a text is its words, and the ids of a text are
 the ids of its words end to end. Each block of documents is split into words; its table of distinct words is
-encoded once by the library itself (so normalisation, special strings and merges are the library's), and ids
-are put back by position with a lookup in that table. Decoding looks every id up in the id-to-piece table.
+encoded once by the library itself (so normalisation, special strings and merges are the library's; words that
+differ in the case of A-Z or in closing marks share the encoding of their stem), and ids are put back by position with
+a lookup in that table. Decoding looks every id up in the id-to-piece table.
 
 The table is kept block by block, not for the whole corpus: a corpus-wide join would shuffle every word
 occurrence, or the whole text, to save encoding a word again in each block, and words are a few hundredths of
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 
 #: Words in a worker's table; a block that begins above it starts a new one. It bounds memory, not the result.
 TABLE = 400_000
+#: A control character that stands for the gap between words that are encoded together.
+MARK = "\x01"
 #: Characters of documents in a block.
 BLOCK = 4 << 20
 
@@ -55,19 +59,44 @@ class WordTable:
 
     def __init__(self, path: str):
         self.tok, self.pieces = _loaded(path)
+        (self.mark,) = self.tok.encode(MARK, add_special_tokens=False).ids
         self.ids: dict[str, bytes] = {}
         self.text: dict[str, bytes] = {}
 
     def learn(self, words: set[str]) -> None:
+        """Ids of words not met yet: those of the stem from the library, and of the marks after it."""
         if len(self.ids) > TABLE:
             self.ids, self.text = {}, {}
-        new = list(words.difference(self.ids))
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            for w, e in zip(part, self.tok.encode_batch(part, add_special_tokens=False), strict=True):
-                ids = e.ids
-                self.ids[w] = np.array(ids, "<u4").tobytes()
-                self.text[w] = b" ".join([self.pieces[i] for i in ids])
+        split = {w: _stem(w) for w in words.difference(self.ids)}
+        self._encode({x for pair in split.values() for x in pair if x} - self.ids.keys())
+        for w, (stem, marks) in split.items():
+            if w not in self.ids:
+                ids, text = self.ids[stem], self.text[stem]
+                if marks:
+                    ids, text = ids + self.ids[marks], b" ".join(filter(None, (text, self.text[marks])))
+                self.ids[w], self.text[w] = ids, text
+
+    def _encode(self, new: set[str]) -> None:
+        """Words are encoded by the hundred, apart by a mark that none of them holds and whose one id parts their ids."""
+        alone = [w for w in new if MARK in w or "<" in w or len(w) > 200]
+        together = list(new.difference(alone))
+        groups = [together[a : a + 100] for a in range(0, len(together), 100)]
+        for a in range(0, len(groups), 200):
+            part = groups[a : a + 200]
+            for group, e in zip(part, self.tok.encode_batch_fast([f" {MARK} ".join(g) for g in part], add_special_tokens=False), strict=True):
+                ids, at = e.ids, 0
+                raw = np.array(ids, "<u4").tobytes()
+                for w in group:
+                    try:
+                        to = ids.index(self.mark, at)
+                    except ValueError:
+                        to = len(ids)
+                    self.ids[w] = raw[4 * at : 4 * to]
+                    self.text[w] = b" ".join([self.pieces[i] for i in ids[at:to]])
+                    at = to + 1
+        for w, e in zip(alone, self.tok.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+            self.ids[w] = np.array(e.ids, "<u4").tobytes()
+            self.text[w] = b" ".join([self.pieces[i] for i in e.ids])
 
     def encode(self, words: list[str]) -> bytes:
         return b"".join(map(self.ids.__getitem__, words))
@@ -77,6 +106,25 @@ class WordTable:
         return b" ".join(filter(None, map(self.text.__getitem__, words)))
 
 
+_marked = re.compile("(.*[0-9a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])([.,;:!?]+)\\Z", re.DOTALL)
+#: Combining characters, and the one letter whose lower case holds one.
+_combining = re.compile("[\u0130\u0300-\u036f]")
+
+
+def _stem(word: str) -> tuple[str, str]:
+    """A word as its stem, A-Z lower-cased, and the marks after it: the library's own steps lower-case every word and
+    never join a letter or digit with a mark, so the ids are those of both, end to end.
+
+    A word that may hold a special string, which is matched before these steps, and one with combining
+    characters, which compose differently with upper and lower case, stay as they are.
+    """
+    if "<" in word or "|" in word or _combining.search(word):
+        return word, ""
+    word = word.lower() if word.isascii() else word.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+    m = _marked.match(word) if word[-1] in ".,;:!?" else None
+    return (m[1], m[2]) if m else (word, "")
+
+
 _tables: dict[str, WordTable] = {}
 
 
