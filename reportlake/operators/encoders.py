@@ -24,14 +24,24 @@ class TextEncoder:
     def encode_batch(self, texts: list[str]) -> np.ndarray:
         raise NotImplementedError
 
-    def __call__(self, text: Column) -> Column:
+    def __call__(self, text: Column, parts: str | None = None) -> Column:
+        """Vectors of a text, or of each of its parts; null for null. Equal texts of a batch are encoded once."""
         encoder = self
 
-        @F.pandas_udf("array<float>")
-        def encode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for part in parts:
-                out = [v for a in range(0, len(part), encoder.batch) for v in encoder.encode_batch([t or " " for t in part.iloc[a : a + encoder.batch]])]
-                yield pd.Series(out, dtype="object")
+        def vectors(texts: list[str]) -> dict[str, np.ndarray]:
+            known = list(dict.fromkeys(texts))
+            return {t: v for a in range(0, len(known), encoder.batch) for t, v in zip(known[a : a + encoder.batch], encoder.encode_batch([t or " " for t in known[a : a + encoder.batch]]), strict=True)}
+
+        @F.pandas_udf("array<float>" if parts is None else "array<array<float>>")
+        def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for batch in batches:
+                if parts is None:
+                    found = vectors([t for t in batch if t is not None])
+                    yield pd.Series([found[t] if t is not None else None for t in batch], dtype="object")
+                else:
+                    split = [t.split(parts) if t is not None else None for t in batch]
+                    found = vectors([t for s in split if s is not None for t in s])
+                    yield pd.Series([[found[t] for t in s] if s is not None else None for s in split], dtype="object")
 
         return encode(text)
 

@@ -2,8 +2,8 @@
 
 Three stages, from cheap to dear, each for the instances that the one before left: the normalised phrase stands in
 the normalised report; the token-sort ratio of both reaches a limit; the cosine of their vectors does. Only the
-second and third run Python, and the second only for phrases whose length allows the ratio at all. Stages are filters and not
-branches of one expression, since a Python function inside a branch would run for every row.
+second and third run Python, and only on what is left for them: a Python function runs for every row of its stage,
+so rows that need no answer reach it as nulls and cost nothing.
 """
 
 from __future__ import annotations
@@ -14,9 +14,9 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import ArrayType, IntegerType
 
-from reportlake.functions.text import contains_phrase, cosine, is_blank, normalized, phrases, sorted_tokens
+from reportlake.functions.text import contains_phrase, cosine, is_blank, let, normalized, phrases, sorted_tokens
 from reportlake.schema import NO_REASON_GIVEN
 
 FUZZY, SEMANTIC = 70, 0.70
@@ -25,26 +25,29 @@ LEAST_ALIKE = 0.53
 
 
 def instances(long: DataFrame) -> DataFrame:
-    """Positive decisions of long(report_id, category, decision, reason, report_text), with normalised phrases and report."""
-    rows = long.where(F.col("decision").isin(3, 4))
-    rows = rows.withColumn("blank", is_blank(F.col("reason")))
-    found = F.filter(F.transform(phrases(F.col("reason")), normalized), lambda p: p != "")
-    return rows.withColumn("phrases", found).withColumn("report_norm", normalized(F.col("report_text")))
+    """Positive decisions of long(report_id, category, decision, reason, report_text), with the normalised report and
+    phrases, whether the reason is blank, and whether a phrase stands in the report (`direct`)."""
 
+    def facts(report: Column) -> Column:
+        found = F.filter(F.transform(phrases(F.col("reason")), normalized), lambda p: p != "")
+        return let(found, lambda ph: F.struct(report.alias("report_norm"), ph.alias("phrases"), is_blank(F.col("reason")).alias("blank"), F.exists(ph, lambda p: contains_phrase(report, p)).alias("direct")))
 
-def stands_in_report() -> Column:
-    return F.exists("phrases", lambda p: contains_phrase(F.col("report_norm"), p))
+    # a generator of one row: texts are normalised once, however often the stages look at them
+    return long.where(F.col("decision").isin(3, 4)).select("*", F.inline(F.array(let(normalized(F.col("report_text")), facts))))
+
+
+def told_reason() -> Column:
+    return F.when(F.col("blank"), NO_REASON_GIVEN).otherwise(F.col("reason"))
 
 
 def substring_stage(rows: DataFrame) -> DataFrame:
     """instances with `matched` by the first stage alone; a blank reason is unmatched and named so."""
-    reason = F.when(F.col("blank"), NO_REASON_GIVEN).otherwise(F.col("reason"))
-    return rows.select("report_id", "category", reason.alias("reason"), (~F.col("blank") & stands_in_report()).alias("matched"))
+    return rows.select("report_id", "category", told_reason().alias("reason"), F.col("direct").alias("matched"))
 
 
 def comparable(c: Column) -> Column:
-    """A text as the ratio sees it: Latin-1 supplement dropped, marks to blanks, tokens sorted."""
-    return sorted_tokens(normalized(F.regexp_replace(c, "[\u0080-ÿ]", "")))
+    """A text as the ratio sees it: the second half of Latin-1 dropped, marks to blanks, tokens sorted."""
+    return sorted_tokens(normalized(F.regexp_replace(c, "[\u0080-\u00ff]", "")))
 
 
 def ratio(a: str, b: str) -> int:
@@ -54,44 +57,49 @@ def ratio(a: str, b: str) -> int:
     return 100 if a == b else int(round(100 * SequenceMatcher(None, a, b).ratio()))
 
 
-@F.pandas_udf(IntegerType())
-def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
+@F.pandas_udf(ArrayType(IntegerType()))
+def _ratios(phrases_: pd.Series, report: pd.Series) -> pd.Series:
+    alike = lambda a, b: LEAST_ALIKE * max(len(a), len(b)) <= min(len(a), len(b))
+    return pd.Series([[ratio(a, b) if alike(a, b) else 0 for a in x] if x is not None and b else None for x, b in zip(phrases_, report, strict=True)], dtype="object")
 
 
-def fuzzy_stage(rows: DataFrame, least: int = FUZZY) -> DataFrame:
-    """(report_id, category, phrase, ratio) of the phrases of rows that could pass, and do."""
-    each = rows.select("report_id", "category", "report_norm", F.explode("phrases").alias("phrase"))
-    each = each.withColumn("a", comparable(F.col("phrase"))).withColumn("b", comparable(F.col("report_norm")))
-    shorter, longer = F.least(F.length("a"), F.length("b")), F.greatest(F.length("a"), F.length("b"))
-    each = each.where((shorter > 0) & (shorter >= LEAST_ALIKE * longer))
-    return each.withColumn("ratio", _ratio("a", "b")).where(F.col("ratio") >= least).select("report_id", "category", "phrase", "ratio")
+def with_ratios(rows: DataFrame) -> DataFrame:
+    """rows with `comparable_phrases` and their `ratios`, null where no phrase is long enough to pass.
 
+    Dropping characters of two bytes takes each and at most a blank beside it, so a prepared report is at least `left`
+    long. Phrases under the bound for that length never reach Python, nor do their reports.
+    """
+    extra = F.octet_length("report_norm") - F.length("report_norm")
+    left = F.length("report_norm") - 2 * extra
+    able = F.filter("phrases", lambda p: F.length(p) >= LEAST_ALIKE * left)
+    open_ = ~F.col("direct") & ~F.col("blank") & (F.size(able) > 0)
+    rows = rows.select("*", F.inline(F.array(F.struct(F.when(open_, able).alias("comparable_phrases"), F.when(open_, comparable(F.col("report_norm"))).alias("_b")))))
+    return rows.withColumn("ratios", _ratios(F.transform("comparable_phrases", comparable), F.col("_b"))).drop("_b")
 
-def semantic_stage(rows: DataFrame, encode: Callable[[Column], Column], least: float = SEMANTIC) -> DataFrame:
-    """(report_id, category, phrase, similarity) of phrases whose vector is near the whole report's."""
-    report = F.when(F.col("report_norm") == "", " ").otherwise(F.col("report_norm"))
-    each = rows.withColumn("rv", encode(report)).select("report_id", "category", "rv", F.explode("phrases").alias("phrase"))
-    each = each.withColumn("similarity", cosine(encode(F.col("phrase")), F.col("rv")))
-    return each.where(F.col("similarity") >= least).select("report_id", "category", "phrase", "similarity")
+
+def fuzzy_stage(rows: DataFrame, least: int = FUZZY) -> DataFrame:
+    """(report_id, category, phrase, ratio) of phrases of instances without a direct match that reach the ratio."""
+    each = with_ratios(rows).where("ratios IS NOT NULL")
+    each = each.select("report_id", "category", F.explode(F.arrays_zip(F.col("comparable_phrases").alias("phrase"), F.col("ratios").alias("ratio"))).alias("x"))
+    return each.select("report_id", "category", "x.phrase", "x.ratio").where(F.col("ratio") >= least)
 
 
 def audited(long: DataFrame, encode: Callable[[Column], Column] | None = None) -> DataFrame:
-    """report_id, category, reason, matched, stage (which one matched) of every positive decision."""
-    rows = instances(long)
-    key = ["report_id", "category"]
-    direct = rows.withColumn("direct", ~F.col("blank") & stands_in_report())
-    rest = direct.where(~F.col("direct") & ~F.col("blank"))
-    fuzzy = fuzzy_stage(rest).select(*key).distinct().withColumn("fuzzy", F.lit(True))
-    reason = F.when(F.col("blank"), NO_REASON_GIVEN).otherwise(F.col("reason"))
-    out = direct.select(*key, reason.alias("reason"), "direct").join(fuzzy, key, "left")
+    """report_id, category, reason, matched, stage (which one matched) of every positive decision, in one pass without a shuffle."""
+    rows = with_ratios(instances(long))
+    fuzzy = F.coalesce(F.exists("ratios", lambda r: r >= FUZZY), F.lit(False))
+    rows = rows.select("report_id", "category", told_reason().alias("reason"), "direct", "phrases", "report_norm", fuzzy.alias("fuzzy"))
     stage = F.when(F.col("direct"), "substring").when(F.col("fuzzy"), "fuzzy")
     if encode is not None:
-        left = rest.join(fuzzy, key, "left_anti")
-        near = semantic_stage(left, encode).select(*key).distinct().withColumn("near", F.lit(True))
-        out = out.join(near, key, "left")
-        stage = stage.when(F.col("near"), "semantic")
-    return out.select(*key, "reason", stage.isNotNull().alias("matched"), stage.alias("stage"))
+        left = ~F.col("direct") & ~F.col("fuzzy") & (F.size("phrases") > 0)
+        # encoders pass over nulls, and encode equal texts of a batch once
+        report = F.when(left, F.when(F.col("report_norm") == "", " ").otherwise(F.col("report_norm")))
+        joined = F.when(left, F.array_join("phrases", "\n"))
+        rows = rows.withColumn("rv", encode(report)).withColumn("pv", encode(joined, parts="\n"))
+        near = F.coalesce(F.exists("pv", lambda v: cosine(v, F.col("rv")) >= SEMANTIC), F.lit(False))
+        stage = stage.when(near, "semantic")
+    rows = rows.withColumn("stage", stage)
+    return rows.select("report_id", "category", "reason", F.col("stage").isNotNull().alias("matched"), "stage")
 
 
 def summary(audit: DataFrame) -> DataFrame:

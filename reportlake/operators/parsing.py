@@ -35,11 +35,12 @@ def _strict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def parsed(raw: DataFrame, column: str) -> DataFrame:
     """raw with `repaired`, `value` (variant) and `error` for a column of JSON text; a null or blank text is neither."""
-    again = let(F.coalesce(block(F.col(column)), F.col(column)), lambda b: returns(b))
-    rows = raw.withColumn("repaired", F.when(~is_blank(F.col(column)), repaired(F.col(column))))
-    read = let(F.col("repaired"), lambda r: F.struct(F.try_parse_json(r).alias("value"), (r.isNotNull() & (F.try_parse_json(r).isNull() | (again > 1) | ~F.contains(r, F.lit("{")))).alias("odd")))
-    rows = rows.withColumn("_r", read).withColumn("_odd", F.coalesce("_r.odd", F.lit(False)))
-    plain = rows.where("NOT _odd").select(*raw.columns, "repaired", F.col("_r.value").alias("value"), F.lit(None).cast("string").alias("error"))
+    again = let(F.coalesce(block(F.col(column)), F.col(column)), returns)
+    odd = lambda r, v: r.isNotNull() & (v.isNull() | (again > 1) | ~F.contains(r, F.lit("{")))
+    facts = lambda r: let(F.try_parse_json(r), lambda v: F.struct(r.alias("repaired"), v.alias("value"), odd(r, v).alias("_odd")))
+    # a generator of one row: what it computes is not computed again above it
+    rows = raw.select("*", F.inline(F.array(let(F.when(~is_blank(F.col(column)), repaired(F.col(column))), facts))))
+    plain = rows.where("NOT _odd").select(*raw.columns, "repaired", "value", F.lit(None).cast("string").alias("error"))
     odd = rows.where("_odd").select(*raw.columns, "repaired")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in odd.schema.fields)
     strict = odd.mapInPandas(_strict, f"{kinds}, plain_json string, error string").select(*raw.columns, "repaired", F.try_parse_json("plain_json").alias("value"), "error")

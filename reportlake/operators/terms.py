@@ -38,8 +38,11 @@ def vocabulary(docs: DataFrame, stop: list[str], size: int, longest: int = 1) ->
 
 
 def attributions(counts: DataFrame, weights: DataFrame) -> DataFrame:
-    """report_id, category, term, idx, weight: count times coefficient of each term of weights(category, term, idx, coef)."""
-    return counts.join(weights, "term").select("report_id", "category", "term", "idx", (F.col("n") * F.col("coef")).alias("weight"))
+    """report_id, category, term, idx, weight: count times coefficient of each term of weights(category, term, idx, coef).
+
+    weights has a row for each label and term of a vocabulary, whose size is a parameter, so it travels as a broadcast.
+    """
+    return counts.join(F.broadcast(weights), "term").select("report_id", "category", "term", "idx", (F.col("n") * F.col("coef")).alias("weight"))
 
 
 def top_terms(attributed: DataFrame, k: int = 30, nonzero: bool = False) -> DataFrame:

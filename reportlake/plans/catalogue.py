@@ -328,7 +328,7 @@ def token_length_stats(spark, sf_dir):
     return metrics.token_lengths(reports(spark, sf_dir).select(terms.kept_terms(F.col("report"), STOP).alias("t")), "t")
 
 
-WEIGHTS = f"""{COUNTS}, voc AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS idx FROM (SELECT DISTINCT term FROM counts)),
+WEIGHTS = f"""{COUNTS}, voc AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS idx FROM (SELECT term FROM counts GROUP BY term ORDER BY sum(n) DESC, term LIMIT 10000)),
 w AS (SELECT c.report_id, k.category, c.term, voc.idx, c.n * ((ascii(c.term) * 7 + length(c.term) * 13 + k.c * 5) % 41 - 20) / 16.0::DOUBLE AS weight
   FROM counts c JOIN voc ON voc.term = c.term, (VALUES (0, 'Focal Epi'), (4, 'Abnormality')) k(c, category))"""
 
@@ -336,7 +336,7 @@ w AS (SELECT c.report_id, k.category, c.term, voc.idx, c.n * ((ascii(c.term) * 7
 def _attributed(spark, sf_dir):
     counts = term_counts(spark, sf_dir)
     kinds = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(CATEGORIES[c]).alias("category")) for c in (0, 4)])
-    vocabulary = terms.vocabulary(reports(spark, sf_dir), STOP, 2**30).select("term", "idx")
+    vocabulary = terms.vocabulary(reports(spark, sf_dir), STOP, baseline.VOCABULARY).select("term", "idx")
     weights = vocabulary.select("term", "idx", F.explode(kinds).alias("k")).select("term", "idx", "k.category", (((F.ascii("term") * 7 + F.length("term") * 13 + F.col("k.c") * 5) % 41 - 20) / F.lit(16.0)).alias("coef"))
     return terms.attributions(counts, weights)
 
