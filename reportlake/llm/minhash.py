@@ -7,8 +7,8 @@ j. Since the shifts of a slot are neighbours in pi, all coordinates of a shingle
 
 Signatures are cut into bands; documents that agree on a band are candidates. Every link is confirmed on the full
 sets of shingle hashes. No bucket is expanded into all its pairs: each member first meets the head of its bucket,
-the most central one; the buckets of one head are one group. Members that these links leave outside their head's
-component then meet the others of their group, in units of two blocks, where one matrix product gives the sizes
+the most central one; the buckets of one head are one group. Members that aren't linked to their head then meet the
+others of their group, in units of two blocks, where one matrix product gives the sizes
 of all intersections and only spanning edges leave. Pairs that are skipped are in one component already, so
 components lose no link. Documents with the same set are one node from the start, found by a 128-bit hash of the set.
 
@@ -210,21 +210,21 @@ def _met(percent: int):
     return run
 
 
-def _apart(met: DataFrame, label: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between members of a head's group that the links so far leave in different components.
+def _apart(met: DataFrame, links: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that are left between members of a head's group.
 
-    Settled members are in the head's component, strays aren't. Strays meet strays and settled members in units
-    of two blocks; settled members needn't meet each other, and a group without strays is done.
+    Settled members are linked to the head, strays aren't. Strays meet strays and settled members in units of two
+    blocks; settled members needn't meet each other, and a group without strays is done.
     """
-    of = lambda x: label.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
-    rows = met.join(of("head"), "head", "left").join(of("id"), "id", "left").join(reps.select(F.col("rep").alias("id"), "n"), "id")
-    rows = rows.select("head", "id", "n", (F.coalesce("c_id", "id") == F.coalesce("c_head", "head")).cast("int").alias("settled"))
-    rows = stored(rows, "groups")
+    linked = links.select(F.col("a").alias("head"), F.col("b").alias("id"), F.lit(1).alias("linked"))
+    rows = met.join(linked, ["head", "id"], "left").join(reps.select(F.col("rep").alias("id"), "n"), "id")
+    rows = rows.select("head", "id", "n", F.when(F.col("head") == F.col("id"), 1).otherwise(F.coalesce("linked", F.lit(0))).alias("settled"))
     blocks = lambda who: F.ceil(F.greatest(F.sum(who) / BLOCK, F.sum(who * F.col("n")) / WEIGHT)).cast("int")
     stray = 1 - F.col("settled")
     parts = rows.groupBy("head").agg(F.sum(stray).alias("strays"), F.sum("settled").alias("rest"), blocks(stray).alias("gs"), blocks(F.col("settled")).alias("gt"))
     parts = parts.where("strays > 1 OR strays = 1 AND rest > 1").select("head", "gs", "gt")
-    rows = rows.join(parts, "head")
+    # as a table of its own, so that the rows of a head with a large group can be split in the join
+    rows = rows.join(stored(parts, "parts"), "head")
     own = F.when(F.col("settled") == 0, F.col("gs")).otherwise(F.col("gt"))
     rows = rows.withColumn("o", F.pmod(F.xxhash64("id"), own).cast("int"))
     unit = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
@@ -254,10 +254,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     met = stored(members.select("bucket", "id").join(heads, "bucket").select("head", "id").distinct(), "met")
     sets = _sets(docs, met.select("id"), k)
     links = stored(_confirmed(met.where("head <> id").select(F.col("head").alias("a"), F.col("id").alias("b")), reps, sets, percent), "links")
-    label = components(links)
-    more = stored(_apart(met, label, reps, sets, percent), "more_links")
-    if not more.isEmpty():
-        label = components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    label = components(links.unionByName(_apart(met, links, reps, sets, percent)))
 
     home = reps.select("print", "rep").join(label, F.col("rep") == F.col("node"), "left").select("print", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("id", "n", "print").join(home, "print", "left")
