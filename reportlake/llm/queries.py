@@ -139,6 +139,19 @@ def op10_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capfilters.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+OP10_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+), g AS (
+  SELECT * FROM v WHERE coalesce(len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0, false)
+), l AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+), r AS (SELECT vec_id AS a, vec_id AS c FROM v UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.c
+), c AS (SELECT a, min(c) AS c FROM r GROUP BY a
+), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, c.c AS component_id, v.vec_id = c.c AS kept FROM v JOIN c ON c.a = v.vec_id LEFT JOIN n ON n.a = v.vec_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_bpe": op2_bpe,
@@ -152,4 +165,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_caps": op10_caps,
 }
 
-SQL: dict[str, str] = {"op1_minhash": OP1_SQL, "op3_chat": OP3_SQL, "op7_mix": OP7_SQL, "op8_exact": OP8_SQL}
+SQL: dict[str, str] = {"op1_minhash": OP1_SQL, "op3_chat": OP3_SQL, "op7_mix": OP7_SQL, "op8_exact": OP8_SQL, "op10_caps": OP10_SQL}
