@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words in a worker's table; a block that begins above it starts a new one. It bounds memory, not the result.
-TABLE = 400_000
+TABLE = 300_000
 #: A control character that stands for the gap between words that are encoded together.
 MARK = "\x01"
 #: Characters of documents in a block.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -55,26 +55,22 @@ def _loaded(path: str):
 
 
 class WordTable:
-    """Distinct words to their ids (little-endian unsigned 32-bit) and to their pieces, joined by blanks."""
+    """Distinct words to their ids (little-endian unsigned 32-bit), and ids to their pieces."""
 
     def __init__(self, path: str):
         self.tok, self.pieces = _loaded(path)
         (self.mark,) = self.tok.encode(MARK, add_special_tokens=False).ids
         self.ids: dict[str, bytes] = {}
-        self.text: dict[str, bytes] = {}
 
     def learn(self, words: set[str]) -> None:
         """Ids of words not met yet: those of the stem from the library, and of the marks after it."""
         if len(self.ids) > TABLE:
-            self.ids, self.text = {}, {}
+            self.ids = {}
         split = {w: _stem(w) for w in words.difference(self.ids)}
         self._encode({x for pair in split.values() for x in pair if x} - self.ids.keys())
         for w, (stem, marks) in split.items():
             if w not in self.ids:
-                ids, text = self.ids[stem], self.text[stem]
-                if marks:
-                    ids, text = ids + self.ids[marks], b" ".join(filter(None, (text, self.text[marks])))
-                self.ids[w], self.text[w] = ids, text
+                self.ids[w] = self.ids[stem] + self.ids[marks] if marks else self.ids[stem]
 
     def _encode(self, new: set[str]) -> None:
         """Words are encoded by the hundred, apart by a mark that none of them holds and whose one id parts their ids."""
@@ -92,18 +88,16 @@ class WordTable:
                     except ValueError:
                         to = len(ids)
                     self.ids[w] = raw[4 * at : 4 * to]
-                    self.text[w] = b" ".join([self.pieces[i] for i in ids[at:to]])
                     at = to + 1
         for w, e in zip(alone, self.tok.encode_batch_fast(alone, add_special_tokens=False), strict=True):
             self.ids[w] = np.array(e.ids, "<u4").tobytes()
-            self.text[w] = b" ".join([self.pieces[i] for i in e.ids])
 
     def encode(self, words: list[str]) -> bytes:
         return b"".join(map(self.ids.__getitem__, words))
 
-    def decode(self, words: list[str]) -> bytes:
-        """Pieces of the words' ids; a word may have none."""
-        return b" ".join(filter(None, map(self.text.__getitem__, words)))
+    def decode(self, ids: bytes) -> bytes:
+        """The pieces of encoded ids, joined by blanks."""
+        return b" ".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 _marked = re.compile("(.*[0-9a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])([.,;:!?]+)\\Z", re.DOTALL)
@@ -145,7 +139,7 @@ def _coded(path: str, carry: list[str], with_ids: bool):
                     ids = table.encode(words)
                     tokens.append(len(ids) // 4)
                     digests.append(hashlib.sha256(ids).hexdigest())
-                    decoded.append(hashlib.sha256(table.decode(words)).hexdigest())
+                    decoded.append(hashlib.sha256(table.decode(ids)).hexdigest())
                     if with_ids:
                         arrays.append(ids)
                 cols = [batch.column(c).slice(at, to - at) for c in carry]
