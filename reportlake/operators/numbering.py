@@ -1,23 +1,32 @@
-"""Gapless row numbers in a global order, without sorting the table in one task."""
+"""Gapless row numbers in a global order, without sorting the table, or a class of its rows, in one task."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Sampled keys, about, from which the splitters are chosen.
+SAMPLE = 4096
 
-def numbered(rows: DataFrame, by: list[str], name: str, parts: int = 64) -> DataFrame:
-    """rows with 0, 1, ... in the order of `by`, whose first column is a number. Its range is cut into equal parts; part counts give offsets.
 
-    A part is numbered in one task, so the first column should be spread over its range, as ids are.
+def numbered(rows: DataFrame, by: list[str], name: str, within: tuple[str, ...] = (), parts: int = 64) -> DataFrame:
+    """rows with 0, 1, ... in the order of `by` (nulls first), over all rows or within the groups of `within`.
+
+    Splitters from a sample of the first column cut its order into parts; rows are numbered inside their part, from
+    an offset that the counts of the parts before give. Rows of one key share a part, so the first column should be
+    an id or another column without very common values.
     """
-    key = F.col(by[0]).cast("double")
-    ends = rows.agg(F.min(key), F.max(key)).first()
-    if ends[0] is None:
-        return rows.withColumn(name, F.row_number().over(Window.orderBy(*by)) - 1)
-    width = (ends[1] - ends[0]) / parts or 1.0
-    cut = rows.withColumn("_part", F.coalesce(F.least(F.floor((key - ends[0]) / width), F.lit(parts - 1)), F.lit(-1)))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cut.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*by)) - 1
-    return cut.withColumn("_inside", inside).join(F.broadcast(offsets), "_part").withColumn(name, F.col("_offset") + F.col("_inside")).drop("_part", "_inside", "_offset")
+    key = by[0]
+    n = rows.count()
+    drawn = rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < min(1.0, SAMPLE / max(n, 1)) * (1 << 30)).select(key).where(F.col(key).isNotNull()).distinct()
+    keys = sorted(r[0] for r in drawn.collect())
+    splitters = sorted({keys[len(keys) * i // parts] for i in range(1, parts)}) if keys else []
+    kind = rows.schema[key].dataType
+    at = F.size(F.filter(F.array(*[F.lit(s).cast(kind) for s in splitters]), lambda s: s <= F.col(key))) if splitters else F.lit(0)
+    cut = rows.withColumn("_part", F.when(F.col(key).isNull(), -1).otherwise(at))
+    before = Window.partitionBy(*within).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cut.groupBy(*within, "_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = cut.withColumn("_inside", F.row_number().over(Window.partitionBy(*within, "_part").orderBy(*by)) - 1)
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}")) for c in (*within, "_part")]
+    joined = inside.alias("r").join(offsets.alias("o"), same)
+    return joined.select(*[F.col(f"r.`{c}`") for c in rows.columns], (F.col("_offset") + F.col("_inside")).cast("long").alias(name))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from reportlake.operators.numbering import numbered
+
 
 def completed_ids(results: DataFrame) -> DataFrame:
     return results.select("report_id").dropna().distinct()
@@ -42,8 +44,8 @@ def stratified_folds(rows: DataFrame, label: str = "y", folds: int = 5) -> DataF
     """rows(pos, label, ...) with `fold`: blocks in order within each class, without shuffling.
 
     Classes are numbered by first appearance and laid end to end; the position p of that order belongs to stripe p mod folds, and
-    a class gives each fold, in turn, as many of its rows as it has positions in that stripe. Ranks within a class come from one
-    window by class; the counts a class needs of the others are a table of one row for each class.
+    a class gives each fold, in turn, as many of its rows as it has positions in that stripe. Ranks within a class are numbered in
+    parts, so no task holds a class; the counts a class needs of the others are a table of one row for each class.
     """
     sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n"), F.min("pos").alias("_first"))
     before = Window.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
@@ -54,17 +56,11 @@ def stratified_folds(rows: DataFrame, label: str = "y", folds: int = 5) -> DataF
     for i in range(folds):
         total = total + upto("_end", i) - upto("_start", i)
         sizes = sizes.withColumn(f"_c{i}", total)
-    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy("pos")) - 1)
-    ranked = ranked.join(sizes, label)
+    ranked = numbered(rows, ["pos"], "_r", within=(label,)).join(sizes, label)
     fold = sum((F.when(F.col(f"_c{i}") <= F.col("_r"), 1).otherwise(0) for i in range(folds)), F.lit(0))
     return ranked.select(*rows.columns, fold.cast("int").alias("fold"))
 
 
 def positioned(rows: DataFrame, by: str) -> DataFrame:
-    """rows with `pos`, a gapless scan order by an id, without one task that sorts the table.
-
-    A range partitioning sorts ids across tasks; the rows of each partition are counted and numbered from its offset.
-    """
-    from reportlake.operators.numbering import numbered
-
+    """rows with `pos`, a gapless scan order by an id, without one task that sorts the table."""
     return numbered(rows, [by], "pos")

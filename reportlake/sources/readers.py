@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportlake.operators.selection import completed_ids
+from reportlake.operators.selection import completed_ids, positioned
 from reportlake.schema import ID_NAMES, RAW_RESULTS, conform, id_column
 from reportlake.sources.sqlite import sqlite_table
 
@@ -39,10 +39,8 @@ def reports(spark: SparkSession, path: str, table: str = "reports") -> DataFrame
     found = read_table(spark, path, table)
     key = id_column(found.columns)
     text = "Report" if "Report" in found.columns else "report"
-    from pyspark.sql import Window
-
-    rows = found.select(F.col(f"`{key}`").cast("string").alias("report_id"), F.col(text).cast("string").alias("report"))
-    return rows.withColumn("pos", F.row_number().over(Window.orderBy("report_id")) - 1) if "pos" not in found.columns else found.select(F.col(f"`{key}`").cast("string").alias("report_id"), F.col(text).cast("string").alias("report"), F.col("pos").cast("long"))
+    rows = found.select(F.col(f"`{key}`").cast("string").alias("report_id"), F.col(text).cast("string").alias("report"), *(["pos"] if "pos" in found.columns else []))
+    return rows.withColumn("pos", F.col("pos").cast("long")) if "pos" in found.columns else positioned(rows, "report_id")
 
 
 def raw_results(spark: SparkSession, path: str | None) -> DataFrame:
