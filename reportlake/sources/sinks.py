@@ -57,8 +57,8 @@ def sqlite(tables: dict[str, DataFrame], path: str | Path) -> Path:
     return _whole(Path(path), write)
 
 
-def manifest(path: str | Path, **facts) -> Path:
-    return _whole(Path(path), lambda new: new.write_text(json.dumps(facts, indent=2, sort_keys=True)))
+def manifest(target: str | Path, /, **facts) -> Path:
+    return _whole(Path(target), lambda new: new.write_text(json.dumps(facts, indent=2, sort_keys=True)))
 
 
 def breadcrumb(path: str | Path, count: int, exit_code: int, resume: str | None) -> None:
