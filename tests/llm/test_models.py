@@ -45,6 +45,15 @@ def test_odd_texts(spark):
     assert langid.identified(docs.limit(0), model).count() == 0
 
 
+def test_rare_grams_stay_in_the_models_of_a_large_corpus(spark):
+    rows = [(i, "banana cabana " * 3000, lang) for i in range(60) for lang in ("a", "b")] + [(900, "qxzj", "a"), (901, "jwqk", "b")]
+    model = langid.learned(spark.createDataFrame(rows, LANGS).repartition(4))
+    for lang, rare in enumerate(("qxzj", "jwqk")):
+        keys, share = model["models"][lang].grams[0]
+        own = langid.grams([rare])[0]
+        assert np.isin(own, keys).all() and (share[np.isin(keys, own)] > 0).all()
+
+
 def test_model_is_a_distribution():
     keys, _, _ = langid.grams(["abracadabra abba", "cab dab"])
     model = langid.Model(*np.unique(keys, return_counts=True))
