@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -50,8 +51,9 @@ def comparable(c: Column) -> Column:
     return sorted_tokens(normalized(F.regexp_replace(c, "[\u0080-\u00ff]", "")))
 
 
+@lru_cache(64)
 def ratio(a: str, b: str) -> int:
-    """Similarity of two prepared texts from 0 to 100."""
+    """Similarity of two prepared texts from 0 to 100. Kept for a while: the categories of a report often share a reason."""
     if not a or not b:
         return 0
     return 100 if a == b else int(round(100 * SequenceMatcher(None, a, b).ratio()))

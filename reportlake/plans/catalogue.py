@@ -228,9 +228,10 @@ def factuality_summary(spark, sf_dir):
 
 @query()
 def factuality_fuzzy(spark, sf_dir):
-    """Reasons here are worded like their reports, with words in another order, so that the second stage decides."""
-    rows = long_rows(spark, sf_dir).withColumn("report_text", F.substring("report", 1, 120))
-    rows = rows.withColumn("reason", F.array_join(F.reverse(F.split(F.substring("report", 1, 110), " ")), " "))
+    """Reasons here are worded like their whole reports, with every twelfth word left out and the others in reverse order, so that the second stage decides."""
+    rows = long_rows(spark, sf_dir).withColumn("report_text", F.col("report"))
+    words = F.filter(F.split("report", " "), lambda w, i: i % 12 != 11)
+    rows = rows.withColumn("reason", F.array_join(F.reverse(words), " "))
     return factuality.fuzzy_stage(factuality.instances(rows))
 
 

@@ -210,6 +210,13 @@ def test_factuality(spark):
     assert near.where("matched").count() >= 2
 
 
+def test_fuzzy_query_reads_whole_reports(spark, tmp_path):
+    words = [f"{a}{b}ona{c}" for a in "bdfg" for b in "aei" for c in "xy"]
+    spark.createDataFrame([(i, " ".join(words), "en", "s", 0) for i in range(12)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalogue.QUERIES["factuality_fuzzy"](spark, str(tmp_path)).collect()
+    assert got and all(set(r.phrase.split()) == {w for i, w in enumerate(words) if i % 12 != 11} and 70 <= r.ratio < 100 for r in got)
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.text("ab cd", min_size=1, max_size=40), st.text("ab cd", min_size=1, max_size=40))
 def test_length_bound_drops_no_match(a, b):
