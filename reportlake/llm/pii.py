@@ -5,10 +5,11 @@ term near an entity discloses it as far as the two occur together more than by c
 the pointwise mutual information of entity c and term t, log(n(c,t) N / (n(c) n(t))), is held against what the entity
 itself holds, log(N / n(c)): n(c,t) and n(c) count distinct windows of WINDOW words to each side of a mention, so
 copies of a passage are no evidence, n(t) counts documents, N is all documents. Terms that reach SHARE of the
-entity's information in SUPPORT windows or more are spans of kind `term` wherever they stand in such a window.
+entity's information in SUPPORT windows or more are spans of kind `term` wherever they stand in any text.
 
-Only mentions with their windows are joined and counted between tasks; the corpus itself is read twice, once for
-mentions and once for the document counts of the terms in question, found through a map of bits of fixed size.
+Only mentions with their windows are joined and counted between tasks; the corpus itself is read three times: for
+mentions, for the document counts of the terms in question and for the places of the terms that disclose, the
+last two found through a map of bits of fixed size.
 
 Defined results: a null text counts as empty. A match that fails its check is dropped and the search goes on
 after it. Spans are in code points, ends exclusive; kinds may overlap. Rows that repeat give repeated rows. Extra columns are
@@ -41,6 +42,7 @@ _CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+){3,}")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_MARKED = re.compile(r"[!-/:-@\[-`{-~]")
 
 
 def _luhn(digits: str) -> bool:
@@ -213,6 +215,35 @@ def _document_counts(bits):
     return run
 
 
+def _places(text: str) -> list[tuple[int, int]]:
+    """Start and end of each term of a text, in the order of _terms."""
+    marks = _MARKED.sub(" ", text)
+    return [m.span() for m in _WORD.finditer(marks)]
+
+
+def _occurrences(bits):
+    """(row, term, start, stop) of the terms on the map of bits in whole texts."""
+
+    def run(batches):
+        on = np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little").astype(bool)
+        for batch in batches:
+            for i, _, hashes, first in _terms(batch.column(1)):
+                hit = np.flatnonzero(on[_cells(hashes)])
+                if not len(hit):
+                    continue
+                row = np.searchsorted(first, hit, "right") - 1
+                ends = []
+                for r in np.unique(row):
+                    places = _places(batch.column(1)[int(i + r)].as_py())
+                    if len(places) != first[r + 1] - first[r]:
+                        raise ValueError("terms and their places differ")
+                    ends += [places[k - first[r]] for k in hit[row == r]]
+                ends = np.array(ends, np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i + row)), pa.array(hashes[hit].view(np.int64)), pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["row", "term", "start", "stop"])
+
+    return run
+
+
 def _sums(found: list[np.ndarray]) -> pa.RecordBatch:
     u, n = np.unique(np.concatenate(found), return_counts=True)
     return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n.astype(np.int64))], ["term", "n"])
@@ -253,8 +284,11 @@ def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         n = seen.count()
         both = pairs.join(by_term, "term").join(by_entity, "entity")
         shared = F.log(F.col("nct") * F.lit(float(n)) / (F.col("nc") * F.col("nt")))
-        known = both.where((F.col("nc") < n) & (shared >= SHARE * F.log(F.lit(float(n)) / F.col("nc")))).select("entity", "term")
-        hits = each.join(known, ["entity", "term"]).select("doc_id", "h", "start", "stop").distinct()
+        known = both.where((F.col("nc") < n) & (shared >= SHARE * F.log(F.lit(float(n)) / F.col("nc")))).select("term").distinct()
+        known = stored(known, "known")
+        bits = docs.sparkSession.sparkContext.broadcast(_bitmap(known))
+        hits = rows.mapInArrow(_occurrences(bits), f"row struct<doc_id:{kind},h:long>, term long, start int, stop int")
+        hits = hits.join(known, "term", "left_semi").select("row.doc_id", "row.h", "start", "stop").distinct()
         terms = hits.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct(F.lit(KINDS.index("term")).alias("kind"), "start", "stop"))).alias("terms"))
     empty = F.array().cast("array<struct<kind:int,start:int,stop:int>>")
     if terms is None:

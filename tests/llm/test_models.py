@@ -150,6 +150,21 @@ def test_personal_data(spark):
     assert pii.found(docs.limit(0)).count() == 0
 
 
+def terms_of(spark, rows):
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    got = pii.found(docs).select("doc_id", F.explode("terms").alias("t")).select("doc_id", "t.*").collect()
+    return sorted((r.doc_id, rows[r.doc_id][r.start : r.stop]) for r in got)
+
+
+ORDINARY = [f"ordinary words number {i} stand here" for i in range(300)]
+
+
+def test_terms_far_from_their_entity(spark):
+    near = [f"one{i} Zorblatt, two{i} bob@x.org" for i in range(2)]
+    got = terms_of(spark, [near[0] + " and" * 10 + " Zorblatt", near[1], "é, far away (ZORBLATT) stands alone", *ORDINARY])
+    assert got == [(0, "Zorblatt"), (0, "Zorblatt"), (1, "Zorblatt"), (2, "ZORBLATT")]
+
+
 def test_counts_of_spans(spark):
     for r in queries.op6_pii(spark, SF).collect():
         kinds = [s.split(":")[0] for s in r.spans.split(",")]
