@@ -3,12 +3,12 @@
 The patterns give the protected entities: e-mail addresses, IP addresses, card numbers (Luhn) and phone numbers. A
 term near an entity discloses it as far as the two occur together more than by chance. Over the whole corpus,
 the pointwise mutual information of entity c and term t, log(n(c,t) N / (n(c) n(t))), is held against what the entity
-itself holds, log(N / n(c)): n(c,t) and n(c) count distinct windows of WINDOW words to each side of a mention, so
-copies of a passage are no evidence, n(t) counts documents, N is all documents. Terms that reach SHARE of the
-entity's information in SUPPORT windows or more are spans of kind `term` wherever they stand in any text.
+itself holds, log(N / n(c)). All four count distinct texts, so copies of a document cancel: N all texts, n(c) and n(t)
+those with the entity or the term, n(c,t) those where the term stands among the WINDOW words to a side of a mention.
+Terms that reach SHARE of the entity's information in SUPPORT different windows or documents or more are spans of kind `term` wherever they stand in any text.
 
 Only mentions with their windows are joined and counted between tasks; the corpus itself is read three times: for
-mentions, for the document counts of the terms in question and for the places of the terms that disclose, the
+mentions, for the counts of the terms in question and for the places of the terms that disclose, the
 last two found through a map of bits of fixed size.
 
 Defined results: a null text counts as empty. A match that fails its check is dropped and the search goes on
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from reportlake.llm.common import mix64, row_word_hashes, stored, utf8
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Words to each side of a mention; windows a term must share with an entity; share of the entity's information it must reveal.
+#: Words to each side of a mention; windows (in different documents or different words) a term must share with an entity; share of the entity's information it must reveal.
 WINDOW, SUPPORT, SHARE = 6, 2, 0.9
 #: log2 of the bits of the map of terms in question.
 WANTED = 23
@@ -193,20 +193,23 @@ def _cells(terms: np.ndarray) -> np.ndarray:
     return (mix64(terms.view(np.uint64)) >> np.uint64(64 - WANTED)).astype(np.int64)
 
 
-def _document_counts(bits):
+def _text_counts(bits):
+    """(term, n) of texts with their weights, 1 over the number of their copies, so that each text counts once."""
+
     def run(batches):
         on = np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little").astype(bool)
-        total: list[np.ndarray] = []
+        total: list[tuple] = []
         for batch in batches:
-            for i, j, hashes, first in _terms(batch.column(0)):
+            weight = batch.column(1).to_numpy(zero_copy_only=False)
+            for i, _, hashes, first in _terms(batch.column(0)):
                 hit = np.flatnonzero(on[_cells(hashes)])
                 if len(hit):
-                    row = np.searchsorted(first, hit, "right")
+                    row = np.searchsorted(first, hit, "right") - 1
                     order = np.lexsort((hashes[hit], row))
                     h, r = hashes[hit][order], row[order]
                     new = np.append(True, (h[1:] != h[:-1]) | (r[1:] != r[:-1]))
-                    total.append(h[new])
-            if sum(map(len, total)) > 1_000_000:
+                    total.append((h[new], weight[i + r[new]]))
+            if sum(len(h) for h, _ in total) > 1_000_000:
                 yield _sums(total)
                 total = []
         if total:
@@ -244,9 +247,10 @@ def _occurrences(bits):
     return run
 
 
-def _sums(found: list[np.ndarray]) -> pa.RecordBatch:
-    u, n = np.unique(np.concatenate(found), return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n.astype(np.int64))], ["term", "n"])
+def _sums(found: list[tuple]) -> pa.RecordBatch:
+    terms, weights = (np.concatenate(x) for x in zip(*found, strict=True))
+    u, at = np.unique(terms, return_inverse=True)
+    return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.bincount(at, weights, len(u)))], ["term", "n"])
 
 
 def _bitmap(terms: DataFrame) -> bytes:
@@ -273,15 +277,19 @@ def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     seen = rows.mapInArrow(_mentions, f"row struct<doc_id:{kind},h:long>, base array<struct<kind:int,start:int,stop:int>>, seen array<{_MENTION}>, _x long")
     seen = stored(seen.select("row.doc_id", "row.h", "base", "seen"), "mentions")
     each = seen.where(F.size("seen") > 0).select("doc_id", "h", F.explode("seen").alias("m")).select("doc_id", "h", "m.*")
-    windows = each.select("entity", "term", "window").distinct()
-    pairs = windows.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("nct")).where(F.col("nct") >= SUPPORT)
+    copies = stored(seen.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "copies")
+    windows = each.select("entity", "term", "h", "window").distinct().groupBy("entity", "term", "h").agg(F.count(F.lit(1)).alias("w"))
+    windows = windows.join(copies, "h", "left")
+    support = F.sum(F.col("w") * F.coalesce("m", F.lit(1)))
+    pairs = windows.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("nct"), support.alias("support")).where(F.col("support") >= SUPPORT)
     pairs = stored(pairs, "pairs")
     terms = None
     if not pairs.isEmpty():
         bits = docs.sparkSession.sparkContext.broadcast(_bitmap(pairs.select("term")))
-        by_term = docs.select("text").mapInArrow(_document_counts(bits), "term long, n long").groupBy("term").agg(F.sum("n").alias("nt"))
-        by_entity = each.select("entity", "window").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("nc"))
-        n = seen.count()
+        weighted = rows.select("row.h", "text").join(copies, "h", "left").select("text", (1.0 / F.coalesce("m", F.lit(1))).alias("weight"))
+        by_term = weighted.mapInArrow(_text_counts(bits), "term long, n double").groupBy("term").agg(F.round(F.sum("n")).alias("nt"))
+        by_entity = each.select("entity", "h").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("nc"))
+        n = seen.count() - (copies.agg(F.sum(F.col("m") - 1)).first()[0] or 0)
         both = pairs.join(by_term, "term").join(by_entity, "entity")
         shared = F.log(F.col("nct") * F.lit(float(n)) / (F.col("nc") * F.col("nt")))
         known = both.where((F.col("nc") < n) & (shared >= SHARE * F.log(F.lit(float(n)) / F.col("nc")))).select("term").distinct()

@@ -165,6 +165,15 @@ def test_terms_far_from_their_entity(spark):
     assert got == [(0, "Zorblatt"), (0, "Zorblatt"), (1, "Zorblatt"), (2, "ZORBLATT")]
 
 
+def test_terms_of_copied_documents(spark):
+    passage = "signed Zorblatt bob@x.org"
+    copies = [f"head{i} a b c d e f g {passage} h i j k l m n tail{i}" for i in range(40)]
+    whole = ["the desk of Quuxly amy@y.org"] * 5
+    got = terms_of(spark, [*copies, *whole, *ORDINARY])
+    assert {i for i, t in got if t == "Zorblatt"} == set(range(40)) and {i for i, t in got if t == "Quuxly"} == set(range(40, 45))
+    assert not [i for i, _ in got if i >= 45]
+
+
 def test_counts_of_spans(spark):
     for r in queries.op6_pii(spark, SF).collect():
         kinds = [s.split(":")[0] for s in r.spans.split(",")]
