@@ -42,7 +42,6 @@ _CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+){3,}")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_MARKED = re.compile(r"[!-/:-@\[-`{-~]")
 
 
 def _luhn(digits: str) -> bool:
@@ -113,8 +112,6 @@ def _windows(text: str, spans: list[tuple[int, int, int]]):
             # a word cut off at the left edge is left for the next, longer reach
             before = words if not start else words[1:]
             cut, reach = start, reach * 2
-            if reach > 4096:
-                break
         after = []
         for m in _WORD.finditer(text, b):
             after.append((m.start(), m.end()))
@@ -124,10 +121,15 @@ def _windows(text: str, spans: list[tuple[int, int, int]]):
         yield entity, words
 
 
+#: Marks that a term loses at both ends and may hold inside: of ASCII, of Latin-1, and the commonest others.
+_EDGES = {chr(c) for c in (*range(33, 127), *range(0x2010, 0x2028), *range(0x2030, 0x203F), 0x3001, 0x3002)} | set("¡§«¶·»¿")
+_EDGES = frozenset(c for c in _EDGES if not c.isalnum())
+
+
 def _stripped(text: str, a: int, b: int) -> tuple[int, int]:
-    while a < b and not text[a].isalnum():
+    while a < b and text[a] in _EDGES:
         a += 1
-    while b > a and not text[b - 1].isalnum():
+    while b > a and text[b - 1] in _EDGES:
         b -= 1
     return a, b
 
@@ -143,23 +145,43 @@ _SEEN = pa.struct([("entity", pa.int64()), ("window", pa.int64()), ("term", pa.i
 
 def _terms(column: pa.Array):
     """Word hashes as for terms: of words with the marks around them stripped. Yields as row_word_hashes does."""
-    yield from row_word_hashes(_MARKS.blanked(column))
-
-
-class _Marks:
-    """ASCII marks become blanks, so that a term is the same with and without the comma after it."""
+    yield from row_word_hashes(_blanked(column))
+
+
+def _mark_bytes(data: np.ndarray) -> np.ndarray:
+    """Which bytes belong to a mark of _EDGES."""
+    found = _ASCII_MARK[data]
+    for lead in {c.encode()[:-1] for c in _EDGES if not c.isascii()}:
+        last = np.zeros(256, bool)
+        last[[c.encode()[-1] for c in _EDGES if c.encode()[:-1] == lead]] = True
+        at = np.flatnonzero(data[: max(len(data) - len(lead), 0)] == lead[0])
+        for x in range(1, len(lead)):
+            at = at[data[at + x] == lead[x]]
+        at = at[last[data[at + len(lead)]]]
+        for x in range(len(lead) + 1):
+            found[at + x] = True
+    return found
 
-    def __init__(self):
-        self.table = np.arange(256, dtype=np.uint8)
-        marks = [c for c in range(33, 127) if not chr(c).isalnum()]
-        self.table[marks] = 32
 
-    def blanked(self, column: pa.Array) -> pa.Array:
-        data, bounds = utf8(column)
-        return pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds.astype(np.int64).tobytes()), pa.py_buffer(self.table[data].tobytes()))
+def _blanked(column: pa.Array) -> pa.Array:
+    """Marks at the ends of words become blanks, so that a term is the same with and without the comma after it."""
+    data, bounds = utf8(column)
+    out = data.copy()
+    at = np.flatnonzero(_mark_bytes(data))
+    if len(at):
+        # runs of marks within a row; a run is inside a word if a byte of the word stands on both sides
+        heads = np.append(True, (at[1:] != at[:-1] + 1) | (np.searchsorted(bounds, at[1:], "right") != np.searchsorted(bounds, at[:-1], "right")))
+        first, last = at[heads], at[np.append(heads[1:], True)]
+        row = np.searchsorted(bounds, first, "right") - 1
+        left = (first > bounds[row]) & ~_BLANK[data[first - 1]]
+        right = (last + 1 < bounds[row + 1]) & ~_BLANK[data[np.minimum(last + 1, len(data) - 1)]]
+        out[at[~np.repeat(left & right, np.diff(np.append(np.flatnonzero(heads), len(at))))]] = 32
+    return pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds.astype(np.int64).tobytes()), pa.py_buffer(out.tobytes()))
 
 
-_MARKS = _Marks()
+_ASCII_MARK, _BLANK = np.zeros(256, bool), np.zeros(256, bool)
+_ASCII_MARK[[ord(c) for c in _EDGES if c.isascii()]] = True
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
 def _mentions(batches):
@@ -175,8 +197,7 @@ def _mentions(batches):
                     window = _hash_text(" ".join(text[a:b] for a, b in words))
                     for a, b in words:
                         a, b = _stripped(text, a, b)
-                        # a term is one word also without its marks
-                        if b - a >= 3 and all(c.isalnum() or not c.isascii() for c in text[a:b]):
+                        if a < b:
                             seen[r].append({"entity": _hash_text(entity), "window": window, "term": len(terms), "start": a, "stop": b})
                             terms.append(text[a:b])
             if terms:
@@ -220,8 +241,8 @@ def _text_counts(bits):
 
 def _places(text: str) -> list[tuple[int, int]]:
     """Start and end of each term of a text, in the order of _terms."""
-    marks = _MARKED.sub(" ", text)
-    return [m.span() for m in _WORD.finditer(marks)]
+    places = (_stripped(text, *m.span()) for m in _WORD.finditer(text))
+    return [(a, b) for a, b in places if a < b]
 
 
 def _occurrences(bits):

@@ -174,6 +174,25 @@ def test_terms_of_copied_documents(spark):
     assert not [i for i, _ in got if i >= 45]
 
 
+def test_terms_with_marks_and_short_ones(spark):
+    names = ["O'Brien", "Smith-Jones", "user_name", "AB-1234", "李明"]
+    rows = [f"w{k}{i} “{n}”, x{k}{i} a{k}@x.org" for k, n in enumerate(names) for i in range(2)]
+    rows += [f"v{i} Farley {'z' * 9000 if i else ' ' * 9000} last{i} far@x.org" for i in range(2)]
+    assert terms_of(spark, rows + ORDINARY) == [(2 * k + i, n) for k, n in enumerate(names) for i in range(2)] + [(10, "Farley"), (11, "Farley")]
+
+
+def test_terms_and_their_places_agree():
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("ab',-“”«é李、 \n", k=rng.randint(0, 25))) for _ in range(3000)]
+    for i, j, hashes, first in pii._terms(pa.array(texts)):
+        for r in range(i, j):
+            own = [texts[r][a:b] for a, b in pii._places(texts[r])]
+            assert own == [w for w in (w.strip("',-“”«、") for w in re.split(r"[ \n]+", texts[r])) if w]
+            assert list(hashes[first[r - i] : first[r - i + 1]]) == ([h for *_, x, _ in pii._terms(pa.array(own)) for h in x] if own else [])
+
+
 def test_counts_of_spans(spark):
     for r in queries.op6_pii(spark, SF).collect():
         kinds = [s.split(":")[0] for s in r.spans.split(",")]
