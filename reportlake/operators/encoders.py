@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 
 class TextEncoder:
-    """An encoder: dimension, tokens it reads at most, and a function from texts to a matrix of unit vectors."""
+    """An encoder: dimension, tokens it reads at most (None: all; for models with a fixed context), and a function from texts to a matrix of unit vectors."""
 
-    def __init__(self, dim: int = 64, max_tokens: int = 512, batch: int = 16):
+    def __init__(self, dim: int = 64, max_tokens: int | None = None, batch: int = 16):
         self.dim, self.max_tokens, self.batch = dim, max_tokens, batch
 
     def encode_batch(self, texts: list[str]) -> np.ndarray:
@@ -47,12 +47,12 @@ class TextEncoder:
 
 
 class HashingEncoder(TextEncoder):
-    """Signed hashed word counts, scaled to length 1: a stand-in, not a language model."""
+    """Signed hashed counts of all words of a text, scaled to length 1: a stand-in, not a language model."""
 
     def encode_batch(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim), np.float32)
         for i, t in enumerate(texts):
-            for w in t.lower().split()[: self.max_tokens]:
+            for w in t.lower().split():
                 h = crc32(w.encode())
                 out[i, h % self.dim] += 1 if h >> 31 else -1
         norm = np.linalg.norm(out, axis=1, keepdims=True)

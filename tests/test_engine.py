@@ -210,6 +210,11 @@ def test_factuality(spark):
     assert near.where("matched").count() >= 2
 
 
+def test_hashing_encoder_reads_whole_texts():
+    near, far = encoders.encoder("hashing").encode_batch(["same " * 600, "same " * 600 + "other words " * 400])
+    assert near @ far < 0.95
+
+
 def test_fuzzy_query_reads_whole_reports(spark, tmp_path):
     words = [f"{a}{b}ona{c}" for a in "bdfg" for b in "aei" for c in "xy"]
     spark.createDataFrame([(i, " ".join(words), "en", "s", 0) for i in range(12)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
