@@ -10,9 +10,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from reportlake.llm import bpe, exact, langid, minhash, mixing
-from reportlake.llm.common import crc_mod5, mark, release, shared_dir
+from reportlake.llm.common import crc_mod5, mark, release, shared_dir, stored
 from reportlake.shipping import shipped
 
 
@@ -28,10 +29,19 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates (five-word shingles, 0.8), the document with the smallest id."""
+    """Of each component of near-duplicates (five-word shingles, 0.8), the document with the smallest id.
+
+    Rows without an id are documents of their own: they get keys above all ids, in a table so that the keys stay.
+    """
     shipped(spark)
-    marked = minhash.near_duplicates(docs, k=5, percent=80)
-    return docs.join(marked.where("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+    keyed = docs.withColumn("_key", F.col("doc_id").cast("long"))
+    most, without = keyed.agg(F.max("_key"), F.count_if(F.col("_key").isNull())).first()
+    if without:
+        above = F.monotonically_increasing_id() + F.lit(0 if most is None else most + 1)
+        keyed = keyed.where("_key IS NOT NULL").unionByName(stored(keyed.where("_key IS NULL").withColumn("_key", above), "without_id"))
+    marked = minhash.near_duplicates(keyed, k=5, percent=80, id_col="_key")
+    kept = marked.where("kept").select(F.col("doc_id").alias("_key")).distinct()
+    return keyed.join(kept, "_key", "left_semi").select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

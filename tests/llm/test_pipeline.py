@@ -66,6 +66,16 @@ def test_run(spark, tmp_path):
     assert got.count() > 50 and set(got.columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"}
 
 
+def test_near_dedup_of_rows_without_ids(spark):
+    words = [[f"w{k}x{i}" for i in range(60)] for k in range(4)]
+    near = lambda k, i: " ".join([*words[k][:i], "changed", *words[k][i + 1 :]])
+    rows = [(None, " ".join(words[0])), (None, " ".join(words[1])), (None, near(1, 0)), (7, near(2, 0)), (None, " ".join(words[2])), (9, " ".join(words[3])), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "a", f"s{n}", 0) for n, (i, t) in enumerate(rows)], DOCS).repartition(3)
+    got = [(r.source, r.doc_id) for r in corpus_pipeline.near_dedup(spark, docs, "unused").collect()]
+    assert len(got) == len(set(got)) and {s for s, _ in got} - {"s1", "s2"} == {"s0", "s3", "s5", "s6", "s7"} and len(got) == 6
+    assert sorted(i for _, i in got if i is not None) == [7, 9]
+
+
 def test_clean_documents_stay(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.learned(docs.where(crc_mod5() != 0))
