@@ -1,38 +1,47 @@
 """BPE encoding and decoding over a distinct-word table.
 
-A public tokenizer's pieces never cross ASCII white space, so a text is its words, and the ids of a text are
-the ids of its words end to end. Each block of documents is split into words; its table of distinct words is
-encoded once by the library itself (so normalisation, special strings and merges are the library's; words that
-differ in the case of A-Z or in closing marks share the encoding of their stem), and ids are put back by position with
-a lookup in that table. Decoding looks every id up in the id-to-piece table.
+A tokenizer whose pieces never cross ASCII white space encodes a text as its words, end to end; loading checks that.
 
-The table is kept block by block, not for the whole corpus: a corpus-wide join would shuffle every word
-occurrence, or the whole text, to save encoding a word again in each block, and words are a few hundredths of
-their occurrences already. So there is no shuffle, hot words cost one lookup, and a lost task is just run again.
+1. Split. Blocks of documents are split into words. A block keeps its distinct words, dealt into GROUPS by a hash, and for each
+   document the places of its words among them, commonest words first, in few bytes.
+2. Table. The blocks' words meet by group. A group's distinct words are encoded once for the whole corpus, by the library itself, so
+   normalisation, special strings and merges are the library's, and every block gets the ids of its words back.
+3. Join by position. A block's documents and its words' ids meet again, and places become ids.
+4. Decoding joins ids with the id-to-piece table, which is as large as the vocabulary and so travels as a broadcast.
+
+Only distinct words of blocks and their ids are shuffled. Documents aren't: the places are a table bucketed by block,
+so its rows stay where they are and the ids come to them. A word that every text holds is one entry of each block,
+whatever its number of occurrences, and blocks are of about equal size, so no key is hot. Words of a group are
+held by one task at a time, a block's places by another.
 
 Defined results: a null text counts as empty and has no ids; its decoded text is empty. Very long texts and
-words are encoded whole. Repeated rows give repeated rows. Columns named in `carry` pass through; others are dropped.
+words are encoded whole; a text longer than a block is one of its own. Repeated rows give repeated rows. Columns named in
+`carry` pass through whatever their names; others are dropped. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
-import re
+import uuid
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words in a worker's table; a block that begins above it starts a new one. It bounds memory, not the result.
-TABLE = 300_000
-#: A control character that stands for the gap between words that are encoded together.
-MARK = "\x01"
-#: Characters of documents in a block.
-BLOCK = 2 << 20
+from reportlake.llm.common import bucketed, sorted_runs, stored
+
+#: Characters of a block's documents, and groups that words are dealt into.
+BLOCK, GROUPS = 16 << 20, 4096
+#: Words of a document that are joined with their ids at a time.
+CHUNK = 200_000
+GAPS = " \t\n\x0b\x0c\r"
+#: Texts on which loading checks that white space parts the pieces: letters, digits, marks, accents, symbols and lone combining characters.
+PROBES = ["Hello", "don't", "d1l2", "a.b,c", "(x)", "Éte", "é", "́", "日本語", "👍🏽", "ΣΑΣ", "\x01", "ﬁx", "<", "|>", "1,000.50", " ", "x　y"]
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -43,6 +52,7 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
 
 @lru_cache(2)
 def _loaded(path: str):
+    """The tokenizer and its pieces by id. A tokenizer for which texts aren't their words end to end is an error."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -51,132 +61,218 @@ def _loaded(path: str):
     tok.no_padding()
     size = max(tok.get_vocab(with_added_tokens=True).values()) + 1
     pieces = [(tok.id_to_token(i) or "").encode() for i in range(size)]
+    special = [t.content for t in tok.get_added_tokens_decoder().values()]
+    words = [*PROBES, *special, *(f"a{s}b" for s in special)]
+    apart = [tok.encode(w, add_special_tokens=False).ids for w in words]
+    for gap in [*GAPS, "  ", "\n\t "]:
+        ids = tok.encode(gap + gap.join(words) + gap, add_special_tokens=False).ids
+        if ids != [i for a in apart for i in a] or tok.decode(ids, skip_special_tokens=False).encode() != b" ".join(pieces[i] for i in ids):
+            raise ValueError(f"{path}: pieces cross white space or aren't decoded one by one")
+    if any(c in s for s in special for c in GAPS):
+        raise ValueError(f"{path}: a special string holds white space")
     return tok, pieces
 
 
-class WordTable:
-    """Distinct words to their ids (little-endian unsigned 32-bit), and ids to their pieces."""
-
-    def __init__(self, path: str):
-        self.tok, self.pieces = _loaded(path)
-        (self.mark,) = self.tok.encode(MARK, add_special_tokens=False).ids
-        self.ids: dict[str, bytes] = {}
-
-    def learn(self, words: set[str]) -> None:
-        """Ids of words not met yet: those of the stem from the library, and of the marks after it."""
-        if len(self.ids) > TABLE:
-            self.ids = {}
-        split = {w: _stem(w) for w in words.difference(self.ids)}
-        self._encode({x for pair in split.values() for x in pair if x} - self.ids.keys())
-        for w, (stem, marks) in split.items():
-            if w not in self.ids:
-                self.ids[w] = self.ids[stem] + self.ids[marks] if marks else self.ids[stem]
-
-    def _encode(self, new: set[str]) -> None:
-        """Words are encoded by the hundred, apart by a mark that none of them holds and whose one id parts their ids."""
-        alone = [w for w in new if MARK in w or "<" in w or len(w) > 200]
-        together = list(new.difference(alone))
-        groups = [together[a : a + 100] for a in range(0, len(together), 100)]
-        for a in range(0, len(groups), 200):
-            part = groups[a : a + 200]
-            for group, e in zip(part, self.tok.encode_batch_fast([f" {MARK} ".join(g) for g in part], add_special_tokens=False), strict=True):
-                ids, at = e.ids, 0
-                raw = np.array(ids, "<u4").tobytes()
-                for w in group:
-                    try:
-                        to = ids.index(self.mark, at)
-                    except ValueError:
-                        to = len(ids)
-                    self.ids[w] = raw[4 * at : 4 * to]
-                    at = to + 1
-        for w, e in zip(alone, self.tok.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-            self.ids[w] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, words: list[str]) -> bytes:
-        return b"".join(map(self.ids.__getitem__, words))
-
-    def decode(self, ids: bytes) -> bytes:
-        """The pieces of encoded ids, joined by blanks."""
-        return b" ".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-
-
-_marked = re.compile("(.*[0-9a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])([.,;:!?]+)\\Z", re.DOTALL)
-#: Combining characters, and the one letter whose lower case holds one.
-_combining = re.compile("[\u0130\u0300-\u036f]")
-
-
-def _stem(word: str) -> tuple[str, str]:
-    """A word as its stem, A-Z lower-cased, and the marks after it: the library's own steps lower-case every word and
-    never join a letter or digit with a mark, so the ids are those of both, end to end.
-
-    A word that may hold a special string, which is matched before these steps, and one with combining
-    characters, which compose differently with upper and lower case, stay as they are.
-    """
-    if "<" in word or "|" in word or _combining.search(word):
-        return word, ""
-    word = word.lower() if word.isascii() else word.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-    m = _marked.match(word) if word[-1] in ".,;:!?" else None
-    return (m[1], m[2]) if m else (word, "")
+def _words(text: str) -> list[str]:
+    """Words between ASCII white space; str.split() would also cut at other white space, which the library itself handles."""
+    for c in GAPS[1:]:
+        text = text.replace(c, " ")
+    return list(filter(None, text.split(" ")))
+
+
+class _Index(dict):
+    """Words to numbers in the order of their first use."""
 
+    def __missing__(self, word):
+        self[word] = n = len(self)
+        return n
 
-_tables: dict[str, WordTable] = {}
 
+def packed(numbers: np.ndarray) -> np.ndarray:
+    """Non-negative numbers in bytes of seven bits, low ones first; the last byte of a number is under 128."""
+    numbers = numbers.astype(np.int64)
+    sizes = np.ones(len(numbers), np.int64)
+    for bits in range(7, 63, 7):
+        more = numbers >> bits > 0
+        if not more.any():
+            break
+        sizes += more
+    ends = np.cumsum(sizes)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for k in range(int(sizes.max()) if len(sizes) else 0):
+        some = sizes > k
+        out[(ends - sizes)[some] + k] = numbers[some] >> 7 * k & 127 | (sizes[some] > k + 1) * 128
+    return out
+
+
+def unpacked(data: np.ndarray) -> np.ndarray:
+    last = np.flatnonzero(data < 128)
+    first = np.concatenate([[0], last[:-1] + 1]) if len(last) else last
+    out = np.zeros(len(last), np.int64)
+    for k in range(int((last - first).max()) + 1 if len(last) else 0):
+        some = last - first >= k
+        out[some] |= (data[first[some] + k].astype(np.int64) & 127) << 7 * k
+    return out
+
+
+def _split(carry: str):
+    """Rows of three kinds: a document's places; the groups of a block's words by place; the words of a group of a block."""
+    types = {"block": pa.int64(), "group": pa.int32(), "words": pa.large_string(), "groups": pa.binary(), "places": pa.binary()}
+
+    def rows(n, **columns):
+        return [columns.get(name, pa.nulls(n, kind)) for name, kind in types.items()]
 
-def _coded(path: str, carry: list[str], with_ids: bool):
     def run(batches):
-        table = _tables.setdefault(path, WordTable(path))
+        block = TaskContext.get().partitionId() << 32
+        index, held, size, kind = _Index(), [], 0, None
+
+        def done():
+            nonlocal block, index, held, size
+            flat = np.concatenate([p for _, places in held for p in places]) if held else np.zeros(0, np.int32)
+            count = np.bincount(flat, minlength=len(index))
+            order = np.argsort(-count, kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            for row, places in held:
+                blobs = pa.array([packed(rank[p]).tobytes() for p in places], pa.binary())
+                yield pa.RecordBatch.from_arrays([*rows(len(places), block=pa.array([block] * len(places), pa.int64()), places=blobs), row], [*types, carry])
+            if len(index):
+                words = list(index)
+                group = np.array([hash_of(w) for w in words], np.int64) % GROUPS
+                by_rank = group[order]
+                yield pa.RecordBatch.from_arrays([*rows(1, block=pa.array([block], pa.int64()), groups=pa.array([by_rank.astype("<u2").tobytes()], pa.binary())), pa.nulls(1, kind)], [*types, carry])
+                by_group = np.argsort(by_rank, kind="stable")
+                bounds = np.flatnonzero(np.diff(by_rank[by_group], prepend=-1, append=-1))
+                texts = [" ".join([words[i] for i in order[by_group[a:b]]]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([*rows(len(texts), block=pa.array([block] * len(texts), pa.int64()), group=pa.array(by_rank[by_group[bounds[:-1]]], pa.int32()), words=pa.array(texts, pa.large_string())), pa.nulls(len(texts), kind)], [*types, carry])
+            block, index, held, size = block + 1, _Index(), [], 0
+
         for batch in batches:
+            kind = batch.column(1).type
             texts = pc.fill_null(batch.column(0), "")
-            n, at = len(texts), 0
-            sizes = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) if n else np.zeros(0, np.int64)
-            while at < n:
-                gone = int(sizes[at - 1]) if at else 0
-                to = max(at + 1, int(np.searchsorted(sizes, gone + BLOCK, "right")))
-                split = [_words(t) for t in texts.slice(at, to - at).to_pylist()]
-                table.learn(set().union(*split))
-                tokens, digests, decoded, arrays = [], [], [], []
-                for words in split:
-                    ids = table.encode(words)
-                    tokens.append(len(ids) // 4)
-                    digests.append(hashlib.sha256(ids).hexdigest())
-                    decoded.append(hashlib.sha256(table.decode(ids)).hexdigest())
-                    if with_ids:
-                        arrays.append(ids)
-                cols = [batch.column(c).slice(at, to - at) for c in carry]
-                cols += [pa.array(tokens, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
-                names = [*carry, "n_tokens", "ids_sha256", "decoded_sha256"]
-                if with_ids:
-                    flat = pa.array(np.frombuffer(b"".join(arrays), "<u4").astype(np.int32), pa.int32())
-                    bounds = pa.array(np.concatenate([[0], np.cumsum(tokens)]).astype(np.int32), pa.int32())
-                    cols, names = [*cols, pa.ListArray.from_arrays(bounds, flat)], [*names, "ids"]
-                yield pa.RecordBatch.from_arrays(cols, names)
-                at = to
+            for a in range(0, batch.num_rows, 500):
+                part = texts.slice(a, 500).to_pylist()
+                held.append((batch.column(1).slice(a, 500), [np.fromiter(map(index.__getitem__, _words(t)), np.int32) for t in part]))
+                size += sum(map(len, part))
+                if size > BLOCK:
+                    yield from done()
+        if held:
+            yield from done()
 
     return run
 
 
-def _words(text: str) -> list[str]:
-    """Words between ASCII white space; str.split() would also cut at other white space, which the library itself handles."""
-    for c in "\t\n\x0b\x0c\r":
-        text = text.replace(c, " ")
-    return list(filter(None, text.split(" ")))
+def hash_of(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little")
+
+
+def _encoded(path: str, width: str):
+    """Rows sorted by group in: the distinct words of a group are encoded once; block, group, and the sizes and ids of its words out."""
+
+    def run(batches):
+        tok, _ = _loaded(path)
+        for table in sorted_runs(batches, ["group"]):
+            ids: dict[str, bytes] = {}
+            for batch in table.to_batches(max_chunksize=1000):
+                split = [w.split(" ") for w in batch.column(2).to_pylist()]
+                new = list(set().union(*split).difference(ids))
+                for a in range(0, len(new), 5000):
+                    part = new[a : a + 5000]
+                    ids.update((w, np.array(e.ids, width).tobytes()) for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False), strict=True))
+                found = [[ids[w] for w in words] for words in split]
+                each = np.dtype(width).itemsize
+                sizes = [packed(np.array([len(x) // each for x in f])).tobytes() for f in found]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.binary()), pa.array([b"".join(f) for f in found], pa.binary())], ["block", "group", "sizes", "ids"])
+
+    return run
+
+
+def _gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """flat[start[i] : start[i] + size[i]] for each i of `at`, end to end."""
+    n = size[at]
+    ends = np.cumsum(n)
+    return flat[np.repeat(start[at] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
+def _joined(pieces, width: str, with_ids: bool, names: list[str]):
+    """Of a block: places become ids by its words' ids, and ids become pieces by the id-to-piece table."""
+
+    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
+        flat, bounds = pieces.value
+        words = words.sort_by("group")
+        sizes = unpacked(np.frombuffer(b"".join(words.column("sizes").to_pylist()), np.uint8))
+        ids = np.frombuffer(b"".join(words.column("ids").to_pylist()), width).astype(np.int64)
+        (groups,) = docs.column("groups").drop_null().to_pylist() or [b""]
+        order = np.argsort(np.frombuffer(groups, "<u2"), kind="stable")
+        if len(order) != len(sizes):
+            raise ValueError("words of a block are missing")
+        size, start = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        size[order], start[order] = sizes, np.cumsum(sizes) - sizes
+        docs = docs.filter(pc.is_valid(docs.column("places")))
+        tokens, digests, decoded, arrays = [], [], [], []
+        for blob in docs.column("places").to_pylist():
+            places = unpacked(np.frombuffer(blob, np.uint8))
+            as_ids, as_text, n, own, last = hashlib.sha256(), hashlib.sha256(), 0, [], b""
+            for a in range(0, len(places), CHUNK):
+                mine = _gathered(ids, start, size, places[a : a + CHUNK])
+                raw = mine.astype("<u4")
+                as_ids.update(raw.tobytes())
+                n += len(raw)
+                if with_ids:
+                    own.append(raw.astype(np.int32))
+                # each piece has a blank after it; the text's last one is left out
+                text = last + _gathered(flat, bounds[:-1], np.diff(bounds), mine).tobytes()
+                as_text.update(text[:-1])
+                last = text[-1:]
+            tokens.append(n)
+            digests.append(as_ids.hexdigest())
+            decoded.append(as_text.hexdigest())
+            arrays += own
+        carried = docs.column("carry").combine_chunks() if docs.num_rows else None
+        cols = [carried.field(i) for i in range(len(names))] if docs.num_rows else [pa.nulls(0, docs.schema.field("carry").type.field(i).type) for i in range(len(names))]
+        cols += [pa.array(tokens, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
+        if with_ids:
+            ends = pa.array(np.concatenate([[0], np.cumsum(tokens)]).astype(np.int32), pa.int32())
+            cols.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int32), pa.int32())))
+        return pa.table(cols, names=[*(f"c{i}" for i in range(len(names))), "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])])
+
+    return run
 
 
 def coded(docs: DataFrame, path: str | None = None, carry: tuple[str, ...] = ("doc_id",), text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """carry, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids array<int> of every whole text."""
     path = path or vocabulary_path()
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), "n_tokens long, ids_sha256 string, decoded_sha256 string", *(["ids array<int>"] if with_ids else [])])
-    return docs.select(F.col(text_col).alias("_text"), *[F.col(c) for c in carry]).mapInArrow(_coded(path, list(carry), with_ids), schema)
+    spark = docs.sparkSession
+    _, pieces = _loaded(path)
+    width = "<u2" if len(pieces) <= 1 << 16 else "<u4"
+    table = np.frombuffer(b"".join(p + b" " for p in pieces), np.uint8), np.concatenate([[0], np.cumsum([len(p) + 1 for p in pieces])])
+    sent = spark.sparkContext.broadcast(table)
+    fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    kinds = [fields[c] for c in carry]
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)])
+    carried = f"struct<{','.join(f'c{i}:{k}' for i, k in enumerate(kinds))}>"
+    split = docs.select(F.col(f"`{text_col}`").alias("text"), row.alias("carry")).mapInArrow(_split("carry"), f"block long, group int, words string, groups binary, places binary, carry {carried}")
+    split = bucketed(split, "block", "split")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    words = split.where("group IS NOT NULL").select("block", "group", "words").repartition(parts, "group").sortWithinPartitions("group")
+    ids = words.mapInArrow(_encoded(path, width), "block long, group int, sizes binary, ids binary")
+    places = split.where("group IS NULL").select("block", "groups", "places", "carry")
+    schema = ", ".join([*(f"c{i} {k}" for i, k in enumerate(kinds)), "n_tokens long, ids_sha256 string, decoded_sha256 string", *(["ids array<int>"] if with_ids else [])])
+    out = places.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_joined(sent, width, with_ids, list(carry)), schema)
+    return out.withColumnsRenamed({f"c{i}": c for i, c in enumerate(carry)})
 
 
 def decode(tokens: DataFrame, path: str | None = None, ids_col: str = "ids") -> DataFrame:
-    """tokens with `decoded`: each id joined to its piece, pieces joined by blanks. The id-to-piece table is as
-    large as the vocabulary, which is fixed, so it travels as a broadcast."""
-    pieces = tokens.sparkSession.sparkContext.broadcast([p.decode() for p in _loaded(path or vocabulary_path())[1]])
+    """tokens with `decoded`: each id joined to its piece, pieces joined by blanks in the ids' order; null ids give null.
 
-    @F.pandas_udf("string")
-    def joined(ids):
-        return ids.map(lambda x: " ".join([pieces.value[i] for i in x]) if x is not None else None)
-
-    return tokens.withColumn("decoded", joined(ids_col))
+    Rows are told apart by a key in a table, so rows may repeat. The id-to-piece table is as large as the vocabulary, so it is broadcast.
+    """
+    spark = tokens.sparkSession
+    pieces = spark.createDataFrame([(i, p.decode()) for i, p in enumerate(_loaded(path or vocabulary_path())[1])], "_id int, _piece string")
+    key = f"_{uuid.uuid4().hex}"
+    rows = stored(tokens.withColumn(key, F.monotonically_increasing_id()), "tokens")
+    each = rows.select(key, F.posexplode(F.col(f"`{ids_col}`")).alias("_at", "_id")).join(F.broadcast(pieces), "_id")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_piece"))), lambda x: x["_piece"]), " ")
+    found = each.groupBy(key).agg(text.alias("_text"))
+    decoded = F.when(F.col(f"`{ids_col}`").isNotNull(), F.coalesce("_text", F.lit("")))
+    return rows.join(found, key, "left").withColumn("decoded", decoded).select(*[F.col(f"`{c}`") for c in tokens.columns], "decoded")

@@ -19,6 +19,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 _own_dirs: list[str] = []
 _written: list[tuple[SparkSession, str]] = []
+_tables: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,11 +49,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, column: str, name: str) -> DataFrame:
+    """As stored(), with the rows in buckets by a column, as many as shuffles have parts: rows of another frame come to them, they
+    needn't move. The catalog holds the table under a name of its own until release()."""
+    spark = df.sparkSession
+    folder = uuid.uuid4().hex
+    path, table = f"{shared_dir(spark)}/reportlake/{folder}/{name}", f"reportlake_{name}_{folder}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).option("path", path).option("compression", "zstd").saveAsTable(table)
+    _written.append((spark, path))
+    _tables[path] = table
+    return spark.table(table)
+
+
 def release(spark: SparkSession, keep: int = 0) -> None:
     """Delete the intermediate tables that stored() wrote, but for the first `keep`; their readers must be done."""
     jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     while len(_written) > keep:
         _, path = _written.pop()
+        if path in _tables:
+            spark.sql(f"DROP TABLE IF EXISTS {_tables.pop(path)}")
         p = jvm.org.apache.hadoop.fs.Path(path).getParent()
         p.getFileSystem(hadoop).delete(p, True)
 
