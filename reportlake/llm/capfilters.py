@@ -10,8 +10,8 @@ The number of directions grows with the number of vectors, so a cap keeps about
 clusters. The level is set so that a pair at the least cosine misses all common filters with a chance of about MISS,
 measured on random pairs; it depends on the dimension and the number of directions alone.
 
-Vectors with the same components are one node with a weight. A cap holds a cluster of any size: caps over a bound are
-cut into blocks and each pair of blocks is a unit of work of its own. Links are counted at the least filter
+Vectors with the same components are one node with a weight. A cap holds a cluster of any size: caps of more than two blocks are
+cut into blocks of fixed size, whatever the data, and each pair of blocks is a unit of work of its own. Links are counted at the least filter
 that both ends pass, and only counts and spanning edges leave a unit, never the pairs.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with nothing. Vectors
@@ -32,8 +32,10 @@ from reportlake.llm.components import components
 #: Vectors without clusters in a cap, about; codes, each with a rotation of its own, which even out how many filters a
 #: vector passes; chance that a pair at the limit is missed.
 CAP_SIZE, CODES, MISS = 64, 16, 0.002
-#: Vectors in a block of a large cap: a unit of work has two blocks at most.
+#: Vectors in a block of a large cap, about (a hash deals them): a unit of work has two blocks at most.
 BLOCK = 1024
+#: Large caps up to which their table, of 12 bytes a row, is broadcast; beyond, rows are shuffled to it.
+LARGE = 500_000
 
 
 class Codes:
@@ -43,15 +45,24 @@ class Codes:
         rng = np.random.default_rng([seed, dim])
         self.dim, self.half = dim, max(1, (dim + 1) // 2)
         pairs = self._pairs(rng, 1500, cosine)
-        for due in (12, 16, 20, 24, 30, 36, 44, 54, 66, 80, 100, 130):
-            self.words = int(min(4096, max(4, np.ceil(np.sqrt(n * due / (CODES * CAP_SIZE))))))
-            self.rotations = [np.linalg.qr(rng.standard_normal((2 * self.half, 2 * self.half)))[0] for _ in range(CODES)]
-            self.codes = [[_unit(rng.standard_normal((self.words, self.half))) for _ in range(2)] for _ in range(CODES)]
-            self.level = self._level(pairs[0][:300], due)
-            own, other = self.filters(pairs[0]), self.filters(pairs[1])
-            missed = np.mean([not np.intersect1d(a, b, assume_unique=True).size for a, b in zip(own, other, strict=True)])
-            if missed <= MISS:
+        # in few dimensions the neighbourhood of a vector holds more vectors than a cap should: fewer directions, larger caps
+        for fewer in (1, 4, 16, 64, 256, 1024):
+            for due in (12, 16, 20, 24, 30, 36, 44, 54, 66, 80, 100, 130):
+                self.words = int(min(4096, max(4, np.ceil(np.sqrt(n * due / (CODES * CAP_SIZE)) / fewer))))
+                missed = self._missed(rng, pairs, due)
+                if missed <= MISS:
+                    return
+            if self.words == 4:
                 break
+        raise ValueError(f"pairs at cosine {cosine} in {dim} dimensions are missed with a chance of {missed:.4f}, more than {MISS}")
+
+    def _missed(self, rng, pairs: tuple[np.ndarray, np.ndarray], due: int) -> float:
+        """Draws codes at which a vector exceeds `due` directions; the share of pairs that have no common filter."""
+        self.rotations = [np.linalg.qr(rng.standard_normal((2 * self.half, 2 * self.half)))[0] for _ in range(CODES)]
+        self.codes = [[_unit(rng.standard_normal((self.words, self.half))) for _ in range(2)] for _ in range(CODES)]
+        self.level = self._level(pairs[0][:300], due)
+        own, other = self.filters(pairs[0]), self.filters(pairs[1])
+        return float(np.mean([not np.intersect1d(a, b, assume_unique=True).size for a, b in zip(own, other, strict=True)]))
 
     def _pairs(self, rng, n: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
         x = _unit(rng.standard_normal((n, self.dim)))
@@ -186,11 +197,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
         kind = nodes.schema["v"].dataType.simpleString()
         listed = stored(nodes.where(F.size("v") == dim).select("id", "v", "weight").mapInArrow(_listed(codes), f"id long, v {kind}, weight long, filters array<int>"), f"filters_{dim}")
         each = listed.select(F.explode("filters").alias("filter"), "id", "weight", "v", "filters")
-        total = listed.agg(F.coalesce(F.sum(F.size("filters")), F.lit(0))).first()[0]
-        # at most 10,000 caps can hold over a ten-thousandth of all rows, so the table of large caps is small
-        bound = max(2 * BLOCK, total // 10_000)
-        large = each.groupBy("filter").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > bound).select("filter", F.ceil(F.col("size") * 2 / bound).cast("int").alias("parts"))
-        each = each.join(F.broadcast(large), "filter", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        # a cap's size in whole numbers of blocks; its table is small against the rows, and its size is checked
+        large = each.groupBy("filter").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 2 * BLOCK).select("filter", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"))
+        large = stored(large, f"large_{dim}")
+        each = each.join(F.broadcast(large) if large.count() <= LARGE else large, "filter", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
         each = each.withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         each = each.select("filter", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "weight", "v", "filters", "block")
         each = each.repartition("filter", "i", "j").sortWithinPartitions("filter", "i", "j", "id")
