@@ -2,12 +2,15 @@
 
 Records are ordered by (hash of the text, id), so equal texts lie side by side. A size-weighted sample of these
 keys gives the quantile boundaries of many small ranges; a boundary moves to the start of its text's group unless the
-group itself is larger than a range. The ranges of such a group go to one shard together unless they fill half of it, so
-equal texts share a shard except in groups too large for one. Exact sizes of the ranges are summed; a range that came out overfull is subdivided by boundaries from a denser sample of that range alone.
-Neighbouring ranges fill the shards, and overfull shards hand ranges to underfull ones until no move helps.
+group itself is larger than a range. Exact sizes of the ranges are summed; a range that came out overfull is subdivided by
+boundaries from a denser sample of that range alone. The ranges of a large group go to one shard together; groups larger than a
+shard are split, and, where whole groups would leave shards uneven, the largest group of the fullest shard is too, one after
+the other. Large groups take the emptiest shards, neighbouring ranges fill what is left, and overfull shards hand ranges to
+underfull ones until no move helps.
 
-Only the sample, whose expected size is a parameter, and the sizes of the ranges reach the driver. The tasks of the
-sums and of the numbering hold one range each, so a group of copies of any size is spread like other rows.
+Only the sample and the sizes of the ranges reach the driver; a range holds about ROWS rows at the most, so both grow with a
+millionth of the rows. The tasks of the sums and of the numbering hold one range each, so a group of copies of any size is
+spread like other rows.
 
 Defined results: a null text has no bytes, crc32 0 and size 1. A null id orders first. Rows repeated whole are
 neighbours and interchangeable. Other columns are ignored. Shards may be empty when there are fewer ranges than shards;
@@ -23,12 +26,12 @@ from pyspark.sql import functions as F
 
 from reportlake.llm.common import stored
 
-#: Ranges for each shard, and sampled keys for each range.
-RANGES, SAMPLES = 64, 12
+#: Ranges for each shard at least, sampled keys for each range, and rows of a range, about, at the most.
+RANGES, SAMPLES, ROWS = 64, 12, 1_000_000
 #: A range of over this many times its due size is subdivided, at most so many times.
 OVERFULL, ROUNDS = 2.0, 4
-#: A group of equal texts of up to this part of a shard stays in one shard.
-WHOLE = 0.5
+#: Shards may differ from their due size by this part before a group of equal texts that would fit in a shard is split.
+UNEVEN = 0.02
 LOWEST = -(2**63)
 
 
@@ -83,9 +86,9 @@ def _sample(rows: DataFrame, most: int, total: int) -> list[tuple[int, int, floa
     return [tuple(r) for r in rows.where(draw < chance).select("_hash", "_id", F.greatest(chance, F.lit(1.0))).collect()]
 
 
-def _units(ranges: list[int], splitters: list[tuple[int, int]], sizes: dict[int, int], most: float) -> list[list[int]]:
-    """Ranges that go to a shard together: the parts of a group of equal texts, unless it is larger than `most`."""
-    parted = {h for h, d in splitters if d != LOWEST}
+def _units(ranges: list[int], splitters: list[tuple[int, int]], split: set[int]) -> list[list[int]]:
+    """Ranges that go to a shard together: the parts of a group of equal texts, unless its hash is in `split`."""
+    parted = {h for h, d in splitters if d != LOWEST} - split
     out: list[list[int]] = []
     last = None
     for r in ranges:
@@ -95,30 +98,55 @@ def _units(ranges: list[int], splitters: list[tuple[int, int]], sizes: dict[int,
         else:
             out.append([r])
         last = h
-    return [v for u in out for v in ([u] if len(u) == 1 or sum(sizes[r] for r in u) <= most else [[r] for r in u])]
+    return out
 
 
-def _deal(units: list[list[int]], sizes: dict[int, int], shards: int) -> dict[int, int]:
-    """Shard of each range: neighbours together by prefix sums, then the moves that even out the shards."""
+def _deal(units: list[list[int]], sizes: dict[int, int], shards: int) -> tuple[list[int], list[int]]:
+    """Shard of each unit and load of each shard: large units to the emptiest shard, then neighbours together into the room that is
+    left, then the moves that even out the shards."""
     size = [sum(sizes[r] for r in u) for u in units]
-    total, gone, home = sum(size), 0, []
-    for s in size:
-        home.append(min(shards - 1, int((gone + s / 2) * shards / max(total, 1))))
-        gone += s
-    load = [0] * shards
-    for s, h in zip(size, home, strict=True):
-        load[h] += s
+    due = sum(size) / shards
+    home, load = [0] * len(units), [0] * shards
+    large = [u for u in range(len(units)) if size[u] > due / 8]
+    for u in sorted(large, key=lambda u: (-size[u], u)):
+        home[u] = min(range(shards), key=load.__getitem__)
+        load[home[u]] += size[u]
+    at = 0
+    for u in sorted(set(range(len(units))).difference(large)):
+        while at < shards - 1 and load[at] + size[u] / 2 > due:
+            at += 1
+        home[u] = at
+        load[at] += size[u]
+    by_shard: list[set[int]] = [{u for u in range(len(units)) if home[u] == k} for k in range(shards)]
     for _ in range(8 * len(units)):
         high, low = max(range(shards), key=load.__getitem__), min(range(shards), key=load.__getitem__)
         gap = load[high] - load[low]
-        fits = [u for u in range(len(units)) if home[u] == high and 0 < size[u] < gap]
+        fits = [u for u in by_shard[high] if 0 < size[u] < gap]
         if not fits:
             break
-        u = min(fits, key=lambda u: abs(gap - 2 * size[u]))
+        u = min(fits, key=lambda u: (abs(gap - 2 * size[u]), u))
         home[u] = low
+        by_shard[high].discard(u)
+        by_shard[low].add(u)
         load[high] -= size[u]
         load[low] += size[u]
-    return {r: h for u, h in zip(units, home, strict=True) for r in u}
+    return home, load
+
+
+def _homes(ranges: list[int], splitters: list[tuple[int, int]], sizes: dict[int, int], shards: int) -> dict[int, int]:
+    """Shard of each range. Groups of equal texts are whole but for those larger than a shard and those that keep shards uneven."""
+    due, split = sum(sizes.values()) / shards, set()
+    while True:
+        units = _units(ranges, splitters, split)
+        home, load = _deal(units, sizes, shards)
+        whole = {u: sum(sizes[r] for r in units[u]) for u in range(len(units)) if len(units[u]) > 1}
+        over = [u for u in whole if whole[u] > due]
+        if not over and max(load) > (1 + UNEVEN) * due:
+            fullest = [u for u in whole if home[u] == load.index(max(load))] or list(whole)
+            over = [max(fullest, key=whole.__getitem__)] if fullest else []
+        if not over:
+            return {r: h for u, h in zip(units, home, strict=True) for r in u}
+        split |= {splitters[units[u][0] - 1][0] for u in over}
 
 
 def sharded(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", ranges: int = RANGES, samples: int = SAMPLES) -> DataFrame:
@@ -127,7 +155,7 @@ def sharded(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.xxhash64(raw).alias("_hash"), F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("_id"))
     rows = stored(rows, "keys")
     total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
-    n = min(shards * ranges, max(count, 1))
+    n = min(max(shards * ranges, -(-count // ROWS)), max(count, 1))
     # where rows are few, every key is drawn and so each row can be its own range
     splitters = _snapped(_quantiles(_sample(rows, n * samples, total), n))
     due = total / n
@@ -148,7 +176,7 @@ def sharded(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col:
             break
         splitters = sorted(new)
     sizes = {r: s for r, (s, _) in found.items()}
-    home = _deal(_units(sorted(found), splitters, sizes, WHOLE * total / shards), sizes, shards)
+    home = _homes(sorted(found), splitters, sizes, shards) if found else {}
     start, filled = {}, [0] * shards
     for r in sorted(found):
         start[r] = filled[home[r]]
