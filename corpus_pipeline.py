@@ -1,8 +1,8 @@
 """The corpus pipeline: language ID, exact dedup, MinHash near-dedup, mixing to target weights, BPE coding.
 
 Each stage is a function (spark, docs, sf_dir) -> DataFrame over all rows that the stage before it kept; all but the
-last return the columns of documents. run() writes each stage's rows as Parquet in the shared folder and
-reads them back for the next.
+last return the columns of documents. run() writes each stage's rows as Parquet in the shared folder,
+reads them back for the next, and deletes them once that is written.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reportlake.llm import bpe, exact, langid, minhash, mixing
-from reportlake.llm.common import crc_mod5, mark, release, shared_dir, stored
+from reportlake.llm.common import crc_mod5, delete, mark, release, shared_dir, stored
 from reportlake.shipping import shipped
 
 
@@ -69,5 +69,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = stage(spark, docs, sf_dir)
         out.write.parquet(f"{folder}/{k}-{name}")
         release(spark, before)
+        if k:
+            delete(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
         docs = spark.read.schema(out.schema).parquet(f"{folder}/{k}-{name}")
     return docs

@@ -45,7 +45,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/reportlake/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    _written.append((spark, path))
+    _note(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -56,20 +56,41 @@ def bucketed(df: DataFrame, column: str, name: str) -> DataFrame:
     folder = uuid.uuid4().hex
     path, table = f"{shared_dir(spark)}/reportlake/{folder}/{name}", f"reportlake_{name}_{folder}"
     df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).option("path", path).option("compression", "zstd").saveAsTable(table)
-    _written.append((spark, path))
-    _tables[path] = table
+    _note(spark, path)
+    _tables[path.rpartition("/")[0]] = table
     return spark.table(table)
 
 
+def _note(spark: SparkSession, path: str) -> None:
+    if not _written:
+        # what callers didn't release goes when the application ends, before its session does
+        atexit.unregister(_end)
+        atexit.register(_end)
+    _written.append((spark, path))
+
+
+def _end() -> None:
+    for spark in {id(s): s for s, _ in _written}.values():
+        if spark.sparkContext._jsc is not None:
+            release(spark)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    if path in _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop(path)}")
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def release(spark: SparkSession, keep: int = 0) -> None:
-    """Delete the intermediate tables that stored() wrote, but for the first `keep`; their readers must be done."""
-    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    """Delete the intermediate tables that stored() and bucketed() wrote, but for the first `keep`; their readers must be done."""
     while len(_written) > keep:
-        _, path = _written.pop()
-        if path in _tables:
-            spark.sql(f"DROP TABLE IF EXISTS {_tables.pop(path)}")
-        p = jvm.org.apache.hadoop.fs.Path(path).getParent()
-        p.getFileSystem(hadoop).delete(p, True)
+        delete(spark, _written.pop()[1].rpartition("/")[0])
+
+
+def forget(spark: SparkSession, at: int) -> None:
+    """Delete the one intermediate table that was written when mark() was `at`."""
+    delete(spark, _written.pop(at)[1].rpartition("/")[0])
 
 
 def mark() -> int:
@@ -193,6 +214,43 @@ def row_word_hashes(column: pa.Array):
         yield i, j, hashes, np.array([0, len(hashes)])
 
 
+#: log2 of the bits of a map at the most: 8 MB. Bits for each value while there are fewer.
+LARGEST_MAP, BITS_A_VALUE = 26, 16
+
+
+class BitMap:
+    """Which values are wanted, as bits under a hash: a value that is wanted is always on, others seldom. It travels as a broadcast."""
+
+    def __init__(self, size: int, bits: bytes):
+        self.size, self.bits = size, bits
+
+    def holds(self, values: np.ndarray) -> np.ndarray:
+        cell = _cells(values, self.size)
+        return (np.frombuffer(self.bits, np.uint8)[cell >> 3] >> (cell & 7) & 1).astype(bool)
+
+
+def _cells(values: np.ndarray, size: int) -> np.ndarray:
+    return (mix64(np.array(values).view(np.uint64)) >> np.uint64(64 - size)).astype(np.int64)
+
+
+def bit_map(values: DataFrame, n: int, most: int = LARGEST_MAP) -> BitMap:
+    """The map of a column of n longs. Each task folds its values into words of 64 bits, so no more words than the map has reach the driver."""
+    size = min(max(16, int(np.ceil(np.log2(max(n, 1) * BITS_A_VALUE)))), most)
+
+    def run(batches):
+        on = np.zeros(1 << size, np.uint8)
+        for batch in batches:
+            on[_cells(batch.column(0).to_numpy(zero_copy_only=False), size)] = 1
+        words = np.packbits(on, bitorder="little").view(np.int64)
+        at = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(words[at])], ["at", "bits"])
+
+    found = values.mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << (size - 6), np.int64)
+    out[found.column("at").to_numpy()] = found.column("bits").to_numpy()
+    return BitMap(size, out.tobytes())
+
+
 def sorted_runs(batches, keys: list[str]):
     """Tables of the rows that agree on keys, for record batches sorted by them; a run may span batches."""
     held: list[pa.RecordBatch] = []

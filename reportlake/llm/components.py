@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reportlake.llm.common import stored
+from reportlake.llm.common import forget, mark, stored
 
 
 def _least(e: DataFrame) -> DataFrame:
@@ -17,9 +17,10 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round points all larger neighbours of a node, then all smaller ones, to the least of them. Least
     neighbours come from an aggregation combined on the map side, and a hub's edges are joined with its one
-    row, which the skew join splits, so no task gathers a hub. Rounds are cut by tables in the shared folder;
-    their number grows with the logarithm of the graph. Ties and repeated edges don't matter; null ends are dropped.
+    row, which the skew join splits, so no task gathers a hub. Rounds are cut by tables in the shared folder, each
+    of which goes once the next is written; their number grows with the logarithm of the graph. Ties and repeated edges don't matter; null ends are dropped.
     """
+    spark, at = edges.sparkSession, mark()
     pick = lambda df: df.where("u <> v").distinct()
     now = stored(pick(edges.where("a IS NOT NULL AND b IS NOT NULL").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))), "edges")
     # v < u in all of `now`
@@ -31,6 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
         ends = large.join(_least(large), "u")
         small = ends.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         now = stored(pick(small), "small")
+        forget(spark, at)
         new = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if new == state or not new[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reportlake.llm.common import least_reachable, mix64, row_word_hashes, sorted_runs, stored
+from reportlake.llm.common import LARGEST_MAP, bit_map, least_reachable, mix64, row_word_hashes, sorted_runs, stored
 from reportlake.llm.components import components
 
 BANDS, ROWS = 26, 5
@@ -40,8 +40,8 @@ COORDINATES = BANDS * ROWS
 CIRCLE = 20
 #: Members and shingles in a block, about; a unit of work has two blocks at most.
 BLOCK, WEIGHT = 512, 150_000
-#: log2 of the bits of the map that tells which documents' sets are wanted; a fixed size, false hits cost only work.
-WANTED = 23
+#: Documents whose sets are wanted, up to which a map of bits picks them out of the corpus; more are joined by id.
+WANTED = 1 << (LARGEST_MAP - 2)
 
 
 @lru_cache(1)
@@ -104,18 +104,15 @@ def _signed(k: int):
     return run
 
 
-def _cell(ids: np.ndarray) -> np.ndarray:
-    return (mix64(ids.astype(np.uint64)) >> np.uint64(64 - WANTED)).astype(np.int64)
-
-
 def _wanted_sets(bits, k: int):
     def run(batches):
-        on = np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little")
         for batch in batches:
             ids = batch.column(0)
             known = np.asarray(ids.fill_null(0).to_numpy(zero_copy_only=False), np.int64)
-            rows = np.flatnonzero((on[_cell(known)] > 0) & ~ids.is_null().to_numpy(zero_copy_only=False))
-            part = batch.take(pa.array(rows))
+            some = ~ids.is_null().to_numpy(zero_copy_only=False)
+            if bits is not None:
+                some &= bits.value.holds(known)
+            part = batch.take(pa.array(np.flatnonzero(some)))
             for a in range(0, part.num_rows, 200):
                 some = part.slice(a, 200)
                 sets = list(shingle_sets(some.column(1), k))
@@ -125,26 +122,15 @@ def _wanted_sets(bits, k: int):
     return run
 
 
-def _bitmap(ids: DataFrame) -> bytes:
-    """The cells of the ids as bits. Each task folds its cells into words of 64; at most 2 ** (WANTED - 6) words reach the driver."""
-
-    def run(batches):
-        on = np.zeros(1 << WANTED, np.uint8)
-        for batch in batches:
-            on[_cell(batch.column(0).to_numpy(zero_copy_only=False))] = 1
-        words = np.packbits(on, bitorder="little").view(np.int64)
-        at = np.flatnonzero(words)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(words[at])], ["at", "bits"])
-
-    found = np.zeros(1 << (WANTED - 6), np.int64)
-    for r in ids.mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toLocalIterator():
-        found[r[0]] = r[1]
-    return found.tobytes()
-
-
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """id and shingles of the documents with these ids, and of a few others."""
-    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(ids))
+    """id and shingles of the documents with these ids, and of a few others.
+
+    While the ids fit a map of bits, texts aren't moved; beyond, a map would let everything pass, and a join by id picks them.
+    """
+    ids = ids.distinct()
+    n = ids.count()
+    bits = docs.sparkSession.sparkContext.broadcast(bit_map(ids, n)) if n <= WANTED else None
+    docs = docs if n <= WANTED else docs.join(ids.hint("shuffle_merge"), "id", "left_semi").select("id", "text")
     return stored(docs.mapInArrow(_wanted_sets(bits, k), "id long, shingles array<long>"), "sets")
 
 

@@ -9,7 +9,7 @@ Terms that reach SHARE of the entity's information in SUPPORT different windows
 
 Only mentions with their windows are joined and counted between tasks; the corpus itself is read three times: for
 mentions, for the counts of the terms in question and for the places of the terms that disclose, the
-last two found through a map of bits of fixed size.
+last two found through a map of bits of bounded size (a full map costs work, no results).
 
 Defined results: a null text counts as empty. A match that fails its check is dropped and the search goes on
 after it. Spans are in code points, ends exclusive; kinds may overlap. Rows that repeat give repeated rows. Extra columns are
@@ -26,13 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reportlake.llm.common import mix64, row_word_hashes, stored, utf8
+from reportlake.llm.common import bit_map, row_word_hashes, stored, utf8
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Words to each side of a mention; windows (in different documents or different words) a term must share with an entity; share of the entity's information it must reveal.
 WINDOW, SUPPORT, SHARE = 6, 2, 0.9
-#: log2 of the bits of the map of terms in question.
-WANTED = 23
 
 # Parts of the contract's patterns, for a walk that tries each place once: an address ends where its domain does and starts
 # where its local part can; an IP is four groups of a chain of digits and dots.
@@ -210,20 +208,15 @@ def _mentions(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([[{"kind": k, "start": a, "stop": b} for k, a, b in s] for s in spans], pa.list_(_FOUND)), pa.array(seen, pa.list_(_SEEN)), pa.array(np.arange(part.num_rows) + x, pa.int64())], ["doc_id", "base", "seen", "_x"])
 
 
-def _cells(terms: np.ndarray) -> np.ndarray:
-    return (mix64(terms.view(np.uint64)) >> np.uint64(64 - WANTED)).astype(np.int64)
-
-
 def _text_counts(bits):
     """(term, n) of texts with their weights, 1 over the number of their copies, so that each text counts once."""
 
     def run(batches):
-        on = np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little").astype(bool)
         total: list[tuple] = []
         for batch in batches:
             weight = batch.column(1).to_numpy(zero_copy_only=False)
             for i, _, hashes, first in _terms(batch.column(0)):
-                hit = np.flatnonzero(on[_cells(hashes)])
+                hit = np.flatnonzero(bits.value.holds(hashes))
                 if len(hit):
                     row = np.searchsorted(first, hit, "right") - 1
                     order = np.lexsort((hashes[hit], row))
@@ -249,10 +242,9 @@ def _occurrences(bits):
     """(row, term, start, stop) of the terms on the map of bits in whole texts."""
 
     def run(batches):
-        on = np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little").astype(bool)
         for batch in batches:
             for i, _, hashes, first in _terms(batch.column(1)):
-                hit = np.flatnonzero(on[_cells(hashes)])
+                hit = np.flatnonzero(bits.value.holds(hashes))
                 if not len(hit):
                     continue
                 row = np.searchsorted(first, hit, "right") - 1
@@ -274,23 +266,8 @@ def _sums(found: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.bincount(at, weights, len(u)))], ["term", "n"])
 
 
-def _bitmap(terms: DataFrame) -> bytes:
-    def run(batches):
-        on = np.zeros(1 << WANTED, np.uint8)
-        for batch in batches:
-            on[_cells(np.array(batch.column(0).to_numpy(zero_copy_only=False)))] = 1
-        words = np.packbits(on, bitorder="little").view(np.int64)
-        at = np.flatnonzero(words)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(words[at])], ["at", "bits"])
-
-    out = np.zeros(1 << (WANTED - 6), np.int64)
-    for r in terms.mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toLocalIterator():
-        out[r[0]] = r[1]
-    return out.tobytes()
-
-
-def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, base and terms: arrays of (kind, start, stop) of every document, each sorted by kind and start."""
+def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, h (hash of the text), base and terms of every row."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     # rows are told apart by the place their text holds in its table, so ids may repeat
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -304,9 +281,9 @@ def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     support = F.sum(F.col("w") * F.coalesce("m", F.lit(1)))
     pairs = windows.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("nct"), support.alias("support")).where(F.col("support") >= SUPPORT)
     pairs = stored(pairs, "pairs")
-    terms = None
-    if not pairs.isEmpty():
-        bits = docs.sparkSession.sparkContext.broadcast(_bitmap(pairs.select("term")))
+    terms, asked = None, pairs.agg(F.count_distinct("term")).first()[0]
+    if asked:
+        bits = docs.sparkSession.sparkContext.broadcast(bit_map(pairs.select("term"), asked))
         weighted = rows.select("row.h", "text").join(copies, "h", "left").select("text", (1.0 / F.coalesce("m", F.lit(1))).alias("weight"))
         by_term = weighted.mapInArrow(_text_counts(bits), "term long, n double").groupBy("term").agg(F.round(F.sum("n")).alias("nt"))
         by_entity = each.select("entity", "h").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("nc"))
@@ -315,15 +292,20 @@ def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         shared = F.log(F.col("nct") * F.lit(float(n)) / (F.col("nc") * F.col("nt")))
         known = both.where((F.col("nc") < n) & (shared >= SHARE * F.log(F.lit(float(n)) / F.col("nc")))).select("term").distinct()
         known = stored(known, "known")
-        bits = docs.sparkSession.sparkContext.broadcast(_bitmap(known))
+        bits = docs.sparkSession.sparkContext.broadcast(bit_map(known, known.count()))
         hits = rows.mapInArrow(_occurrences(bits), f"row struct<doc_id:{kind},h:long>, term long, start int, stop int")
         hits = hits.join(known, "term", "left_semi").select("row.doc_id", "row.h", "start", "stop").distinct()
         terms = hits.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct(F.lit(KINDS.index("term")).alias("kind"), "start", "stop"))).alias("terms"))
     empty = F.array().cast("array<struct<kind:int,start:int,stop:int>>")
     if terms is None:
-        return seen.select("doc_id", "base", empty.alias("terms"))
+        return seen.select("doc_id", "h", "base", empty.alias("terms"))
     key = (F.col("s.h") == F.col("t.h")) & F.col("s.doc_id").eqNullSafe(F.col("t.doc_id"))
-    return seen.select("doc_id", "h", "base").alias("s").join(terms.alias("t"), key, "left").select("s.doc_id", "base", F.coalesce("terms", empty).alias("terms"))
+    return seen.select("doc_id", "h", "base").alias("s").join(terms.alias("t"), key, "left").select("s.doc_id", "s.h", "base", F.coalesce("terms", empty).alias("terms"))
+
+
+def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, base and terms: arrays of (kind, start, stop) of every document, each sorted by kind and start."""
+    return _found(docs, id_col, text_col).drop("h")
 
 
 def joined(spans):
@@ -333,23 +315,30 @@ def joined(spans):
 
 
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and text with every span generalised to its kind in brackets; where spans overlap, the one that starts first, then the longer, stands."""
+    """doc_id and text with every span generalised to its kind in brackets; spans that overlap are one
+    stretch, named after the one that starts first, then the longer. Every row is cleaned by the spans of its own text, whether its id is null or stands on other texts too."""
 
     @F.pandas_udf("string")
     def cleaned(texts, base, terms):
         out = []
         for text, b, t in zip(texts, base, terms, strict=True):
+            if text is None:
+                out.append(None)
+                continue
             parts, at = [], 0
             for s in sorted([*b, *t], key=lambda s: (s["start"], -s["stop"])):
                 if s["start"] >= at:
                     parts += [text[at : s["start"]], f"[{KINDS[s['kind']].upper()}]"]
-                    at = s["stop"]
+                at = max(at, s["stop"])
             out.append("".join([*parts, text[at:]]))
         import pandas as pd
 
         return pd.Series(out, dtype="object")
 
-    spans = found(docs, id_col, text_col).where(F.size("base") + F.size("terms") > 0).dropDuplicates(["doc_id"])
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    hold = texts.join(spans, "doc_id").select("doc_id", cleaned("text", "base", "terms").alias("text"))
-    return texts.join(spans.select("doc_id"), "doc_id", "left_anti").unionByName(hold)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
+    spans = _found(docs, id_col, text_col).where(F.size("base") + F.size("terms") > 0).dropDuplicates(["doc_id", "h"])
+    key = (F.col("r.h") == F.col("s.h")) & F.col("r.doc_id").eqNullSafe(F.col("s.doc_id"))
+    both = rows.alias("r").join(spans.alias("s"), key, "left").select("r.doc_id", "text", "base", "terms")
+    # texts without spans pass Python by
+    return both.select("doc_id", F.coalesce(cleaned(F.when(F.col("base").isNotNull(), F.col("text")), "base", "terms"), "text").alias("text"))
