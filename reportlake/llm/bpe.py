@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reportlake.llm.common import bucketed, sorted_runs, stored
+from reportlake.llm.common import bucketed, row_word_hashes, sorted_runs, stored
 
 #: Characters of a block's documents, and groups that words are dealt into.
 BLOCK, GROUPS = 16 << 20, 4096
@@ -138,7 +138,8 @@ def _split(carry: str):
                 yield pa.RecordBatch.from_arrays([*rows(len(places), block=pa.array([block] * len(places), pa.int64()), places=blobs), row], [*types, carry])
             if len(index):
                 words = list(index)
-                group = np.array([hash_of(w) for w in words], np.int64) % GROUPS
+                hashes = np.concatenate([h for *_, h, _ in row_word_hashes(pa.array([" ".join(words)], pa.large_string()))])
+                group = (hashes % np.uint64(GROUPS)).astype(np.int64)
                 by_rank = group[order]
                 yield pa.RecordBatch.from_arrays([*rows(1, block=pa.array([block], pa.int64()), groups=pa.array([by_rank.astype("<u2").tobytes()], pa.binary())), pa.nulls(1, kind)], [*types, carry])
                 by_group = np.argsort(by_rank, kind="stable")
@@ -162,10 +163,6 @@ def _split(carry: str):
     return run
 
 
-def hash_of(word: str) -> int:
-    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little")
-
-
 def _encoded(path: str, width: str):
     """Rows sorted by group in: the distinct words of a group are encoded once; block, group, and the sizes and ids of its words out."""
 
