@@ -10,8 +10,9 @@ from reportlake.functions.polarity import reason_polarity
 
 
 def judged(long: DataFrame) -> DataFrame:
-    """long with the polarity of the reason and of the decision."""
-    return long.withColumn("reason_polarity", reason_polarity(F.col("reason"))).withColumn("label_polarity", polarity(F.col("decision")))
+    """long with the polarity of the reason, by the rules unless it has one, and of the decision."""
+    rows = long if "reason_polarity" in long.columns else long.withColumn("reason_polarity", reason_polarity(F.col("reason")))
+    return rows.withColumn("label_polarity", polarity(F.col("decision")))
 
 
 def distribution(rows: DataFrame) -> DataFrame:

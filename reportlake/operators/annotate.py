@@ -1,14 +1,17 @@
 """Two-stage annotation by a pluggable language-model backend: prompts, answer grammars, the two chained calls.
 
-No model is shipped: StubBackend answers from simple rules and proves the plumbing only.
+No model is shipped: StubBackend answers from simple rules and proves the plumbing only. GgufBackend runs a model file that
+lies in a local folder, through llama_cpp where that is installed.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
-from dataclasses import dataclass
-from zlib import crc32
+import re
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
+from functools import partial
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -83,60 +86,143 @@ def is_explanation(answer: Column) -> Column:
 class Backend:
     """A model that answers prompts; one is built in each Python worker."""
 
-    name = "none"
+    def __init__(self, folder: str | None = None):
+        self.folder = folder
 
-    def answer(self, prompt: str, sampling: Sampling) -> str:
+    def tokens(self, prompt: str) -> int:
+        """Length of a prompt in tokens, about."""
+        return -(-len(prompt) // 4)
+
+    def answer(self, prompt: str, sampling: Sampling, grammar: str) -> str:
         raise NotImplementedError
 
 
 class StubBackend(Backend):
-    """Answers from the report's words alone, in the grammar's form."""
-
-    name = "stub"
-
-    def answer(self, prompt: str, sampling: Sampling) -> str:
-        import re
+    """Answers from the report's words and length alone, in the grammar's form."""
 
-        explain = prompt.startswith(EXPLAIN[:60])
+    def answer(self, prompt: str, sampling: Sampling, grammar: str) -> str:
         report = prompt.split("\n\n", 1)[1]
-        seed = crc32(report[:200].encode())
-        found = re.search(any_of(FOR), report.lower())
-        four = [4 if found and (seed >> i) & 1 else 1 for i in range(4)]
-        decisions = [*four, 4 if max(four) > 2 else 1]
+        explain = grammar == EXPLAIN_GRAMMAR
+        if explain:
+            report, _, told = report.rpartition("\n\n")
+        found = re.search(any_of(FOR), report.lower(), re.ASCII)
+        four = [4 if found and (len(report) >> i) & 1 else 1 for i in range(4)]
         if not explain:
-            return "{" + ", ".join(f'"{k}": {d}' for k, d in zip(LABELS, decisions, strict=True)) + "}"
-        told = json.loads(report[report.rindex("{") :])
-        reason = found.group() if found else report[:40].replace('"', "'").replace("\n", " ").replace("\\", "/")
+            return "{" + ", ".join(f'"{k}": {d}' for k, d in zip(LABELS, [*four, max(four)], strict=True)) + "}"
+        told = json.loads(told)
+        reason = (found.group() if found else report[:40]).replace('"', "'").replace("\n", " ").replace("\\", "/")
         return json.dumps({k: {"decision": told[k], "reasons": [reason]} for k in LABELS}, ensure_ascii=False)
 
 
-BACKENDS: dict[str, type[Backend]] = {"stub": StubBackend}
+class GgufBackend(Backend):
+    """A model file in `folder`, run by llama_cpp with the grammar as a constraint."""
+
+    def __init__(self, folder: str | None = None, file: str = "model.gguf"):
+        super().__init__(folder)
+        path = Path(folder or ".", file)
+        if not path.exists():
+            raise FileNotFoundError(f"no model file {path}; put it there, this engine downloads nothing")
+        try:
+            import llama_cpp
+        except ImportError as e:
+            raise RuntimeError(f"{path} needs the package llama_cpp on every worker") from e
+        # fixed values: context and layers on the GPU
+        self.llm, self.grammar = llama_cpp.Llama(model_path=str(path), n_ctx=Sampling.context, n_gpu_layers=30, verbose=False), llama_cpp.LlamaGrammar.from_string
+
+    def tokens(self, prompt: str) -> int:
+        return len(self.llm.tokenize(prompt.encode()))
+
+    def answer(self, prompt: str, sampling: Sampling, grammar: str) -> str:
+        options = {k: v for k, v in (("top_k", sampling.top_k), ("top_p", sampling.top_p), ("stop", sampling.stop)) if v is not None}
+        told = self.llm(prompt, grammar=self.grammar(GBNF[grammar]), temperature=sampling.temperature, max_tokens=sampling.max_tokens, **options)
+        return told["choices"][0]["text"]
+
+
+def _gbnf(value: str, rules: str, blank: str) -> str:
+    """A grammar in llama_cpp's notation: five keys in order; `blank` follows the last comma."""
+    keys = [f'ws "\\"{k}\\":" ws {value}' for k in LABELS]
+    return 'root ::= "{" ' + ' "," '.join(keys[:-1]) + f' ",{blank}" {keys[-1]} "}}"\n{rules}ws ::= [ \\t\\n]*\n'
+
+
+_ENTRY_RULES = (
+    'entry ::= "{" ws "\\"decision\\":" ws level "," ws "\\"reasons\\":" ws list "}"\n'
+    'list ::= "[" ws "]" | "[" ws text ("," ws text)* ws "]"\ntext ::= "\\"" [^"]* "\\""\nlevel ::= [1-4]\n'
+)
+#: The same two grammars as GBNF, by their pattern.
+GBNF = {CLASSIFY_GRAMMAR: _gbnf("level", "level ::= [1-4]\n", " "), EXPLAIN_GRAMMAR: _gbnf("entry", _ENTRY_RULES, "")}
+
+# fixed values: names of models and their files
+GGUF = {
+    "mistral": "mistral-7b-instruct-v0.2.Q5_K_M.gguf",
+    "deepseek": "deepseek-llm-7b-base.Q5_K_M.gguf",
+    "deepseek-chat": "deepseek-llm-7b-chat.Q5_K_M.gguf",
+    "hermes-mistral": "nous-hermes-2-mistral-7b-dpo.Q5_K_M.gguf",
+    "hermes-llama2": "nous-hermes-llama-2-7b.Q5_K_M.gguf",
+}
+#: Models by name, each made from the folder of model files; a program may add its own.
+BACKENDS: dict[str, Callable[[str | None], Backend]] = {"stub": StubBackend} | {name: partial(GgufBackend, file=file) for name, file in GGUF.items()}
+#: Tokens that an answer must have room for.
+ROOM = 256
+
+
+def available() -> list[str]:
+    return sorted(BACKENDS)
+
 
+_built: dict[tuple, Backend] = {}
 
-def backend(name: str) -> Backend:
+
+def maker(name: str) -> Callable[[str | None], Backend]:
     if name not in BACKENDS:
-        raise ValueError(f"unknown model {name}; available: {', '.join(sorted(BACKENDS))}")
-    return BACKENDS[name]()
+        raise ValueError(f"unknown model {name}; available: {', '.join(available())}")
+    return BACKENDS[name]
+
+
+def _once(name: str, folder: str | None, make: Callable[[str | None], Backend]) -> Backend:
+    """The one model of a worker."""
+    if (name, folder) not in _built:
+        _built.clear()
+        _built[name, folder] = make(folder)
+    return _built[name, folder]
 
 
-def annotated(reports: DataFrame, model: str = "stub", sampling: Sampling | None = None, classify: str = CLASSIFY, explain: str = EXPLAIN) -> DataFrame:
-    """report_id, classifications, explanations of reports(report_id, report): two chained calls for each row, a batch at a time.
+def _asked(llm: Backend, prompt: str, sampling: Sampling, grammar: str) -> tuple[str | None, str | None]:
+    """The answer to a prompt and what is wrong with it. The context's room bounds the answer; without room nothing is sent."""
+    room = sampling.context - llm.tokens(prompt)
+    if room < ROOM:
+        return None, f"prompt leaves {room} of {sampling.context} tokens"
+    told = llm.answer(prompt, replace(sampling, max_tokens=min(sampling.max_tokens, room)), grammar)
+    return told, None if re.fullmatch(grammar[2:-2], told) else "answer breaks its grammar"
 
-    A report whose prompt leaves no room in the context (about four characters a token) is not sent and gets null answers.
+
+def answered(reports: DataFrame, model: str = "stub", sampling: Sampling | None = None, classify: str = CLASSIFY, explain: str = EXPLAIN, folder: str | None = None) -> DataFrame:
+    """report_id, classifications, explanations, error of reports(report_id, report): two chained calls for each row, a batch at a time.
+
+    A null report is empty. A prompt that leaves no room for an answer is not sent: its answer is null and `error` says so. An answer that breaks its
+    grammar stays as it is, and `error` says so too.
     """
-    sampling = sampling or Sampling()
-    backend(model)
+    sampling, make = sampling or Sampling(), maker(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        llm = BACKENDS[model]()
+        llm = _once(model, folder, make)
         for batch in batches:
-            first, second = [], []
+            rows = []
             for report in batch["report"]:
                 report = report or ""
-                fits = (len(explain) + len(report)) / 4 < sampling.context
-                a = llm.answer(f"{classify}\n\n{report}", sampling) if fits else None
-                first.append(a)
-                second.append(llm.answer(f"{explain}\n\n{report}\n\n{a}", sampling) if fits else None)
-            yield pd.DataFrame({"report_id": batch["report_id"], "classifications": first, "explanations": second})
+                first, wrong = _asked(llm, f"{classify}\n\n{report}", sampling, CLASSIFY_GRAMMAR)
+                second, also = _asked(llm, f"{explain}\n\n{report}\n\n{first}", sampling, EXPLAIN_GRAMMAR) if first is not None else (None, None)
+                told = "; ".join(f"{what}: {e}" for what, e in (("classifications", wrong), ("explanations", also)) if e)
+                rows.append((first, second, told or None))
+            yield pd.DataFrame(rows, columns=["classifications", "explanations", "error"]).assign(report_id=batch["report_id"].to_numpy())
+
+    return reports.select("report_id", "report").mapInPandas(run, "report_id string, classifications string, explanations string, error string")
+
+
+def annotated(reports: DataFrame, model: str = "stub", sampling: Sampling | None = None, classify: str = CLASSIFY, explain: str = EXPLAIN, folder: str | None = None) -> DataFrame:
+    """answered() without the errors."""
+    return answered(reports, model, sampling, classify, explain, folder).drop("error")
+
 
-    return reports.select("report_id", "report").mapInPandas(run, "report_id string, classifications string, explanations string")
+def unanswered(answers: DataFrame) -> DataFrame:
+    """Rows of answered() with an error, in the form of the table of errors."""
+    return answers.where("error IS NOT NULL").select("report_id", F.lit("Annotation").alias("error_type"), F.col("error").alias("error_message"), F.coalesce("explanations", "classifications").alias("problematic_json"))

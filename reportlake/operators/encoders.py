@@ -1,12 +1,14 @@
 """Text encoders behind one interface: Column of text to Column of array<float>.
 
 No pretrained model is shipped. HashingEncoder is a deterministic stand-in that proves the plumbing; its vectors are
-not those of any language model. A real model is a subclass whose `encode_batch` loads it once in each Python worker.
+not those of any language model. OnnxEncoder runs a model that lies in a local folder, loaded once in each Python worker.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from pathlib import Path
 from zlib import crc32
 
 import numpy as np
@@ -59,9 +61,50 @@ class HashingEncoder(TextEncoder):
         return out / np.where(norm == 0, 1, norm)
 
 
-def encoder(name: str, **options) -> TextEncoder:
-    """An encoder by name."""
-    known = {"hashing": HashingEncoder}
-    if name not in known:
-        raise ValueError(f"unknown encoder {name}; known: {', '.join(sorted(known))}")
-    return known[name](**options)
+@lru_cache(2)
+def _onnx(folder: str):
+    """Session and tokenizer of a folder with model.onnx and tokenizer.json; anything missing is named."""
+    for name in ("model.onnx", "tokenizer.json"):
+        if not Path(folder, name).exists():
+            raise FileNotFoundError(f"no {name} in {folder}; export the model there, this engine downloads nothing")
+    import onnxruntime
+    from tokenizers import Tokenizer
+
+    options = onnxruntime.SessionOptions()
+    options.intra_op_num_threads = 1
+    return onnxruntime.InferenceSession(str(Path(folder, "model.onnx")), options, providers=["CPUExecutionProvider"]), Tokenizer.from_file(str(Path(folder, "tokenizer.json")))
+
+
+class OnnxEncoder(TextEncoder):
+    """A transformer in a local folder: the first token's state, or the mean over a text's tokens scaled to length 1."""
+
+    def __init__(self, folder: str, pooling: str = "first", max_tokens: int = 512, batch: int = 16):
+        super().__init__(0, max_tokens, batch)
+        self.folder, self.pooling = folder, pooling
+        _onnx(folder)
+
+    def encode_batch(self, texts: list[str]) -> np.ndarray:
+        session, tok = _onnx(self.folder)
+        tok.enable_truncation(self.max_tokens)
+        tok.enable_padding()
+        found = tok.encode_batch(texts)
+        given = {"input_ids": [e.ids for e in found], "attention_mask": [e.attention_mask for e in found], "token_type_ids": [e.type_ids for e in found]}
+        states = session.run(None, {i.name: np.array(given[i.name], np.int64) for i in session.get_inputs()})[0]
+        if self.pooling == "first":
+            return states[:, 0]
+        mask = np.array(given["attention_mask"], np.float32)[:, :, None]
+        mean = (states * mask).sum(1) / np.maximum(mask.sum(1), 1)
+        return mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-12)
+
+
+# fixed values: models by name, with their pooling, tokens and batch
+MODELS = {"bert_base": ("first", 512, 16), "clinicalbert": ("first", 128, 1), "minilm": ("mean", 256, 16)}
+
+
+def encoder(name: str, folder: str | None = None, **options) -> TextEncoder:
+    """An encoder by name; a model is looked for in a folder of its name under `folder`."""
+    if name == "hashing":
+        return HashingEncoder(**options)
+    if name not in MODELS:
+        raise ValueError(f"unknown encoder {name}; known: {', '.join(sorted([*MODELS, 'hashing']))}")
+    return OnnxEncoder(str(Path(folder or ".", name)), *MODELS[name], **options)

@@ -8,11 +8,15 @@ so rows that need no answer reach it as nulls and cost nothing.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 from difflib import SequenceMatcher
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
@@ -61,10 +65,15 @@ def ratio(a: str, b: str) -> int:
 
 @F.pandas_udf(ArrayType(IntegerType()))
 def _ratios(phrases_: pd.Series, report: pd.Series) -> pd.Series:
-    alike = lambda a, b: LEAST_ALIKE * max(len(a), len(b)) <= min(len(a), len(b))
     return pd.Series([[ratio(a, b) if alike(a, b) else 0 for a in x] if x is not None and b else None for x, b in zip(phrases_, report, strict=True)], dtype="object")
 
 
+def alike(a: str, b: str) -> bool:
+    """Whether the ratio of two texts may reach LEAST_ALIKE's bound: by their lengths, then by the characters they have in common."""
+    short, long = sorted((len(a), len(b)))
+    return LEAST_ALIKE * long <= short and (Counter(a) & Counter(b)).total() * 200 >= (FUZZY - 0.5) * (short + long)
+
+
 def with_ratios(rows: DataFrame) -> DataFrame:
     """rows with `comparable_phrases` and their `ratios`, null where no phrase is long enough to pass.
 
@@ -104,6 +113,52 @@ def audited(long: DataFrame, encode: Callable[[Column], Column] | None = None) -
     return rows.select("report_id", "category", "reason", F.col("stage").isNotNull().alias("matched"), "stage")
 
 
+#: Phrases' vectors that are held against all reports at a time; they travel as a broadcast.
+PHRASES = 10_000
+
+
+def supported(phrases_: DataFrame, reports: DataFrame, least: float = SEMANTIC) -> DataFrame:
+    """phrase_id, report_id, similarity of phrases(id, v) and reports(id, v) of different ids whose cosine, in double precision, is at least `least`.
+
+    Phrases are a stated set of queries, held against every report by matrix products, a block of PHRASES after the other, so that what
+    is broadcast is bounded. Null, empty, zero and non-finite vectors, and those of another length, support nothing.
+    """
+    sound = lambda df: df.where("id IS NOT NULL AND v IS NOT NULL").where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0))
+    phrases_, reports = sound(phrases_).select("id", "v", F.size("v").alias("dim")), sound(reports).select("id", "v")
+    kind, out = reports.schema["id"].dataType.simpleString(), None
+    sizes = {r[0]: r[1] for r in phrases_.groupBy("dim").count().collect()}
+    for dim, n in sorted(sizes.items()):
+        blocks = -(-n // PHRASES)
+        for k in range(blocks):
+            some = phrases_.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("id"), F.lit(blocks)) == k)).select("id", "v").toArrow()
+            given = reports.sparkSession.sparkContext.broadcast((some.column("id").to_pylist(), _unit_rows(some.column("v").combine_chunks(), dim)))
+            one = reports.where(F.size("v") == dim).mapInArrow(_near(given, dim, least), f"phrase_id {kind}, report_id {kind}, similarity double")
+            out = one if out is None else out.unionByName(one)
+    return out if out is not None else reports.select(F.col("id").alias("phrase_id"), F.col("id").alias("report_id"), F.lit(0.0).alias("similarity")).limit(0)
+
+
+def _unit_rows(vectors, dim: int) -> np.ndarray:
+    x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _near(given, dim: int, least: float):
+    def run(batches):
+        ids, wanted = given.value
+        for batch in batches:
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                own = part.column(0)
+                found = _unit_rows(part.column(1), dim) @ wanted.T
+                row, col = np.nonzero(found >= least)
+                mine = own.take(pa.array(row))
+                theirs = pa.array(ids, own.type).take(pa.array(col))
+                apart = pc.not_equal(mine, theirs)
+                yield pa.RecordBatch.from_arrays([theirs.filter(apart), mine.filter(apart), pa.array(found[row, col]).filter(apart)], ["phrase_id", "report_id", "similarity"])
+
+    return run
+
+
 def summary(audit: DataFrame) -> DataFrame:
     """Counts and the rate of matched instances in percent, 0 if there is none."""
     sums = audit.agg(F.count_if("matched").alias("matched"), F.count_if(~F.col("matched")).alias("unmatched"), F.count(F.lit(1)).alias("total_checked"))

@@ -53,7 +53,11 @@ def _is_object(v: Column) -> Column:
 
 def classifications(raw: DataFrame, column: str = "classifications") -> DataFrame:
     """A row per report and category: the value as JSON text and the coerced decision."""
-    rows = parsed(raw, column)
+    return classified(parsed(raw, column))
+
+
+def classified(rows: DataFrame) -> DataFrame:
+    """classifications() of rows that are parsed already."""
     entries = F.array(*[F.struct(F.lit(label).alias("category"), F.try_variant_get("value", f"$.{key}", "variant").alias("v")) for key, label in LABELS.items()])
     each = rows.select("report_id", F.explode(entries).alias("e")).select("report_id", "e.*")
     return each.select("report_id", "category", F.to_json("v").alias("raw_value"), coerced(F.col("v")).alias("decision"))
@@ -68,7 +72,11 @@ def cleaned_reasons(v: Column) -> Column:
 
 def explanations(raw: DataFrame, column: str = "explanations") -> DataFrame:
     """A row per report and category: decision and reason. A bare value in an entry's place is taken as the decision."""
-    rows = parsed(raw, column)
+    return explained(parsed(raw, column))
+
+
+def explained(rows: DataFrame) -> DataFrame:
+    """explanations() of rows that are parsed already."""
     entries = F.array(*[F.struct(F.lit(label).alias("category"), F.try_variant_get("value", f"$.{key}", "variant").alias("v")) for key, label in LABELS.items()])
     each = rows.select("report_id", F.explode(entries).alias("e")).select("report_id", "e.*")
     is_entry = _is_object(F.col("v"))
@@ -79,8 +87,12 @@ def explanations(raw: DataFrame, column: str = "explanations") -> DataFrame:
 
 def errors(raw: DataFrame, column: str) -> DataFrame:
     """A row per text that isn't JSON after repair, or whose classifications aren't an object."""
+    return complaints(parsed(raw, column), column)
+
+
+def complaints(rows: DataFrame, column: str) -> DataFrame:
+    """errors() of rows that are parsed already."""
     kind = f"{column.capitalize()} JSON Decode"
-    rows = parsed(raw, column)
     wrong = F.when(F.col("error").isNotNull(), F.col("error"))
     if column == "classifications":
         wrong = wrong.when(F.col("value").isNotNull() & ~_is_object(F.col("value")), F.lit("not an object"))

@@ -20,6 +20,12 @@ def wide_form(long: DataFrame, carry: list[str], value: Column | None = None) ->
     return long.groupBy(*carry).pivot("category", CATEGORIES).agg(F.first(F.col("decision") if value is None else value))
 
 
+def wide_reasons(long: DataFrame) -> DataFrame:
+    """A row per report: for each label its decision and, under `L Reasons`, its reason."""
+    wide = long.groupBy("report_id").pivot("category", CATEGORIES).agg(F.first("decision").alias("d"), F.first("reason").alias("r"))
+    return wide.select("report_id", *[F.col(f"`{c}_{x}`").alias(c + title) for c in CATEGORIES for x, title in (("d", ""), ("r", " Reasons"))])
+
+
 def appended(before: DataFrame, new: DataFrame) -> DataFrame:
     """Results so far and new ones, by name; what one side lacks is null."""
     return before.unionByName(new, allowMissingColumns=True)

@@ -12,14 +12,15 @@ def completed_ids(results: DataFrame) -> DataFrame:
     return results.select("report_id").dropna().distinct()
 
 
-def pending(reports: DataFrame, completed: DataFrame, quota: int) -> DataFrame:
-    """The first reports in scan order that aren't completed, as many as the quota leaves.
+def pending(reports: DataFrame, completed: DataFrame, quota: int, most: int | None = None) -> DataFrame:
+    """The first reports in scan order that aren't completed, as many as the quota leaves, or `most` of them.
 
     Every completed id counts against the quota, also one that isn't among the reports. The limit is a top-k: each
     task keeps its first rows only.
     """
     done = completed_ids(completed)
     left = max(quota - done.count(), 0)
+    left = left if most is None else min(left, most)
     return reports.join(done, "report_id", "left_anti").orderBy("pos").limit(left)
 
 
@@ -45,7 +46,7 @@ def stratified_folds(rows: DataFrame, label: str = "y", folds: int = 5) -> DataF
 
     Classes are numbered by first appearance and laid end to end; the position p of that order belongs to stripe p mod folds, and
     a class gives each fold, in turn, as many of its rows as it has positions in that stripe. Ranks within a class are numbered in
-    parts, so no task holds a class; the counts a class needs of the others are a table of one row for each class.
+    parts, so no task holds a class; rows without a label are a class of their own; the counts a class needs of the others are a table of one row for each class.
     """
     sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n"), F.min("pos").alias("_first"))
     before = Window.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
@@ -56,7 +57,9 @@ def stratified_folds(rows: DataFrame, label: str = "y", folds: int = 5) -> DataF
     for i in range(folds):
         total = total + upto("_end", i) - upto("_start", i)
         sizes = sizes.withColumn(f"_c{i}", total)
-    ranked = numbered(rows, ["pos"], "_r", within=(label,)).join(sizes, label)
+    sizes = sizes.withColumnRenamed(label, "_label")
+    ranked = numbered(rows, ["pos"], "_r", within=(label,))
+    ranked = ranked.join(sizes, F.col(label).eqNullSafe(F.col("_label")))
     fold = sum((F.when(F.col(f"_c{i}") <= F.col("_r"), 1).otherwise(0) for i in range(folds)), F.lit(0))
     return ranked.select(*rows.columns, fold.cast("int").alias("fold"))
 

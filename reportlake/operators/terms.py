@@ -33,16 +33,29 @@ def vocabulary(docs: DataFrame, stop: list[str], size: int, longest: int = 1) ->
     """The commonest terms of the corpus: term, n, idx (place in the alphabet). Ties go to the first in the alphabet."""
     tokens = docs.select(kept_terms(F.col("report"), stop).alias("t"))
     counts = tokens.select(F.explode(ngrams(F.col("t"), longest)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return _commonest(counts, size)
+
+
+def vocabulary_of(counts: DataFrame, size: int) -> DataFrame:
+    """vocabulary() from the counts of each report, so that texts are split once for both."""
+    return _commonest(counts.groupBy("term").agg(F.sum("n").alias("n")), size)
+
+
+def _commonest(counts: DataFrame, size: int) -> DataFrame:
     top = counts.orderBy(F.desc("n"), "term").limit(size)
     return top.withColumn("idx", F.row_number().over(Window.orderBy("term")) - 1)
 
 
-def attributions(counts: DataFrame, weights: DataFrame) -> DataFrame:
+#: Rows of a table of weights up to which it is broadcast.
+WEIGHTS = 5_000_000
+
+
+def attributions(counts: DataFrame, weights: DataFrame, size: int) -> DataFrame:
     """report_id, category, term, idx, weight: count times coefficient of each term of weights(category, term, idx, coef).
 
-    weights has a row for each label and term of a vocabulary, whose size is a parameter, so it travels as a broadcast.
+    weights has at most `size` rows, one for each label and term of a vocabulary; up to WEIGHTS it is broadcast.
     """
-    return counts.join(F.broadcast(weights), "term").select("report_id", "category", "term", "idx", (F.col("n") * F.col("coef")).alias("weight"))
+    return counts.join(F.broadcast(weights) if size <= WEIGHTS else weights, "term").select("report_id", "category", "term", "idx", (F.col("n") * F.col("coef")).alias("weight"))
 
 
 def top_terms(attributed: DataFrame, k: int = 30, nonzero: bool = False) -> DataFrame:

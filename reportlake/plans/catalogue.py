@@ -241,17 +241,40 @@ def factuality_audit(spark, sf_dir):
     return factuality.audited(rows, encoders.encoder("hashing"))
 
 
+#: Every instance's reason by its number: words of the report in reverse order, the report itself, other words, or nothing.
+STAGED = """words AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS report_id, text AS report, replace(text, ';', ' ') AS flat FROM documents),
+staged AS (SELECT report_id, 'Abnormality' AS category, report, CASE doc_id % 4 WHEN 0 THEN array_to_string(list_reverse(string_split(flat, ' ')), ' ') WHEN 1 THEN flat WHEN 2 THEN 'qqqq zzzz; xxxx' END AS reason FROM words)"""
+
+
+def _sorted_sql(x: str) -> str:
+    plain = f"regexp_replace({x}, '[\u0080-\u00ff]', '', 'g')"
+    return f"array_to_string(list_sort(string_split({normalized_sql(plain)}, ' ')), ' ')"
+
+
+@query(f"""WITH {STAGED}, n AS (SELECT *, {normalized_sql("report")} AS rn, list_filter(list_transform(string_split(coalesce(reason, ''), ';'), lambda x: {normalized_sql("x")}), lambda x: x <> '') AS ph FROM staged),
+o AS (SELECT *, coalesce(list_bool_or(list_transform(ph, lambda x: contains(rn, x))), false) AS direct, {_sorted_sql("rn")} AS b FROM n)
+SELECT report_id, category, md5(CASE WHEN trim(regexp_replace(coalesce(reason, ''), '\\s+', ' ', 'g')) = '' THEN '{NO_REASON_GIVEN}' ELSE reason END) AS reason_md5,
+  direct OR coalesce(list_bool_or(list_transform(ph, lambda x: b <> '' AND {_sorted_sql("x")} = b)), false) AS matched,
+  CASE WHEN direct THEN 'substring' WHEN coalesce(list_bool_or(list_transform(ph, lambda x: b <> '' AND {_sorted_sql("x")} = b)), false) THEN 'fuzzy' END AS stage FROM o""")
+def factuality_stages(spark, sf_dir):
+    """The audit without an encoder where the second stage's outcome is plain: a reason has the report's very words in another order, or no word of it."""
+    flat = F.replace("report", F.lit(";"), F.lit(" "))
+    d = F.col("doc_id") % 4
+    reason = F.when(d == 0, F.array_join(F.reverse(F.split(flat, " ")), " ")).when(d == 1, flat).when(d == 2, "qqqq zzzz; xxxx")
+    rows = reports(spark, sf_dir).select("report_id", F.lit("Abnormality").alias("category"), F.lit(4).alias("decision"), reason.alias("reason"), F.col("report").alias("report_text"))
+    return factuality.audited(rows).select("report_id", "category", F.md5(F.col("reason").cast("binary")).alias("reason_md5"), "matched", "stage")
+
+
 @query("""
-WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+s AS (SELECT * FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0)
 SELECT a.vec_id AS phrase_id, b.vec_id AS report_id, round(list_cosine_similarity(a.e, b.e), 6) AS similarity
-FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id % 100 = 0 AND list_cosine_similarity(a.e, b.e) >= 0.2""")
+FROM s a JOIN s b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0 AND list_cosine_similarity(a.e, b.e) >= 0.2""")
 def semantic_support(spark, sf_dir):
-    """Every hundredth vector stands for a phrase; all later vectors of its label stand for reports."""
-    v = table(spark, sf_dir, "embeddings")
-    a, b = v.where("vec_id % 100 = 0").alias("a"), v.alias("b")
-    pairs = b.join(a, (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") < F.col("b.vec_id")))
-    rows = pairs.select(F.col("a.vec_id").alias("phrase_id"), F.col("b.vec_id").alias("report_id"), text.cosine(F.col("a.embedding"), F.col("b.embedding")).alias("s"))
-    return rows.where("s >= 0.2").select("phrase_id", "report_id", F.round("s", 6).alias("similarity"))
+    """Every hundredth vector stands for a phrase; all other vectors stand for reports."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    rows = factuality.supported(v.where("id % 100 = 0"), v, 0.2)
+    return rows.select("phrase_id", "report_id", F.round("similarity", 6).alias("similarity"))
 
 
 # ---- labels, folds, metrics ----
@@ -337,9 +360,9 @@ w AS (SELECT c.report_id, k.category, c.term, voc.idx, c.n * ((ascii(c.term) * 7
 def _attributed(spark, sf_dir):
     counts = term_counts(spark, sf_dir)
     kinds = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(CATEGORIES[c]).alias("category")) for c in (0, 4)])
-    vocabulary = terms.vocabulary(reports(spark, sf_dir), STOP, baseline.VOCABULARY).select("term", "idx")
+    vocabulary = terms.vocabulary_of(counts, baseline.VOCABULARY).select("term", "idx")
     weights = vocabulary.select("term", "idx", F.explode(kinds).alias("k")).select("term", "idx", "k.category", (((F.ascii("term") * 7 + F.length("term") * 13 + F.col("k.c") * 5) % 41 - 20) / F.lit(16.0)).alias("coef"))
-    return terms.attributions(counts, weights)
+    return terms.attributions(counts, weights, 2 * baseline.VOCABULARY)
 
 
 @query(f"WITH {WEIGHTS} SELECT report_id, category, round(sum(weight), 6) AS logit FROM w GROUP BY report_id, category")
@@ -382,12 +405,37 @@ def label_consistency(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", decisions.consistent(four, (d + 4) % 4 + 1).alias("consistent"))
 
 
-@query()
+def _stub_sql() -> str:
+    """What the stub answers, as SQL: `stub` with the report's length, its finding, decision and reason, and the errors of prompts that are too long."""
+    finding = "|".join(f"(?:{p})" for p in polarity.FOR).replace("'", "''")
+    fixed = annotate.Sampling()
+    room = lambda template, more: f"{fixed.context} - ceil((length(report) + {len(template) + 2}{more}) / 4.0::DOUBLE)::BIGINT"
+    said = "replace(replace(replace(CASE WHEN f = '' THEN substr(report, 1, 40) ELSE f END, chr(34), chr(39)), chr(10), ' '), chr(92), '/')"
+    level = lambda i: f"CASE WHEN f <> '' AND (length(report) >> {i}) & 1 = 1 THEN 4 ELSE 1 END"
+    first = " || ', ' || ".join(f"'\"{k}\": ' || d{i}" for i, k in enumerate(LABELS))
+    second = " || ', ' || ".join(f"'\"{k}\": {{\"decision\": ' || d{i} || ', \"reasons\": [' || to_json(said) || ']}}'" for i, k in enumerate(LABELS))
+    return f"""
+texts AS (SELECT doc_id, coalesce(text, '') AS report, regexp_extract(lower(coalesce(text, '')), '{finding}') AS f FROM documents),
+levels AS (SELECT *, {", ".join(f"{level(i)} AS d{i}" for i in range(4))}, {said} AS said, {room(annotate.CLASSIFY, "")} AS room FROM texts),
+firsts AS (SELECT *, greatest(d0, d1, d2, d3) AS d4 FROM levels),
+told AS (SELECT *, CASE WHEN room >= {annotate.ROOM} THEN '{{' || {first} || '}}' END AS classifications FROM firsts),
+rooms AS (SELECT *, {room(annotate.EXPLAIN, " + 2 + length(classifications)")} AS room2 FROM told),
+stub AS (SELECT *, CAST(doc_id AS VARCHAR) AS report_id, CASE WHEN room2 >= {annotate.ROOM} THEN '{{' || {second} || '}}' END AS explanations,
+  CASE WHEN room < {annotate.ROOM} THEN 'classifications: prompt leaves ' || room || ' of {fixed.context} tokens' WHEN room2 < {annotate.ROOM} THEN 'explanations: prompt leaves ' || room2 || ' of {fixed.context} tokens' END AS error FROM rooms)"""
+
+
+STUB_SQL = _stub_sql()
+
+
+@query(f"WITH {STUB_SQL} SELECT report_id, classifications, explanations, error FROM stub")
 def annotate_stub(spark, sf_dir):
-    return annotate.annotated(reports(spark, sf_dir))
+    return annotate.answered(reports(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {STUB_SQL}, cats AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{c}')" for i, c in enumerate(CATEGORIES))}) v(c, category)),
+kept AS (SELECT *, trim(regexp_replace(said, '[^\\t\\n\\x20-\\x7E]', '', 'g')) AS r FROM stub),
+long AS (SELECT report_id, category, CASE WHEN explanations IS NOT NULL THEN [d0, d1, d2, d3, d4][c + 1] END AS decision, CASE WHEN explanations IS NOT NULL AND r <> '' THEN r ELSE '{NO_REASON}' END AS reason FROM kept, cats)
+SELECT *, {_polarity_sql("reason")} AS reason_polarity, CASE WHEN decision IN (1, 2) THEN -1 WHEN decision IN (3, 4) THEN 1 ELSE 0 END AS label_polarity FROM long""")
 def annotate_and_parse(spark, sf_dir):
     """The whole way: annotate by the stub, repair, parse, and judge alignment."""
     answers = annotate.annotated(reports(spark, sf_dir))

@@ -7,8 +7,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reportlake.operators.reshape import long_form
 from reportlake.operators.selection import completed_ids, positioned
-from reportlake.schema import ID_NAMES, RAW_RESULTS, conform, id_column
+from reportlake.schema import CATEGORIES, ID_NAMES, RAW_RESULTS, conform, id_column
+from reportlake.sources import xlsx
 from reportlake.sources.sqlite import sqlite_table
 
 
@@ -21,19 +23,39 @@ def parquet_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(str(path))
 
 
-#: Readers by suffix; a database needs the name of a table.
+#: Readers by suffix; a database or workbook needs the name of a table.
 READERS = {".parquet": parquet_table, ".csv": csv_table}
+TABLED = {".db": sqlite_table, ".sqlite": sqlite_table, ".xlsx": xlsx.table}
 
 
 def read_table(spark: SparkSession, path: str, table: str = "reports") -> DataFrame:
+    """A table by its file's suffix; a folder without one holds Parquet."""
     suffix = Path(path).suffix.lower()
-    if suffix in (".db", ".sqlite"):
-        return sqlite_table(spark, path, table)
+    if suffix in TABLED:
+        return TABLED[suffix](spark, path, table)
+    if not suffix and Path(path).is_dir():
+        suffix = ".parquet"
     if suffix not in READERS:
-        raise ValueError(f"unknown format {suffix} of {path}; known: {', '.join([*READERS, '.db', '.sqlite'])}")
+        raise ValueError(f"unknown format {suffix} of {path}; known: {', '.join([*READERS, *TABLED])} and folders of Parquet")
     return READERS[suffix](spark, path)
 
 
+def explanations(spark: SparkSession, path: str) -> DataFrame:
+    """report_id, category, decision, reason, report (null where the table has none), from a long table or a wide one with a column for each label."""
+    found = read_table(spark, path, "explanations")
+    text = next((F.col(c) for c in ("report", "Report") if c in found.columns), F.lit(None))
+    rows = found.withColumn("report", text.cast("string")).withColumnRenamed(id_column(found.columns), "report_id")
+    if "category" not in rows.columns:
+        rows = long_form(rows, ["report_id", "report"])
+    return rows.select(F.col("report_id").cast("string").alias("report_id"), "category", F.col("decision").cast("int").alias("decision"), "reason", "report")
+
+
+def labelled(spark: SparkSession, path: str) -> DataFrame:
+    """report_id and the five label columns of annotated reports, whatever the id column's name."""
+    found = read_table(spark, path)
+    return found.select(F.col(f"`{id_column(found.columns)}`").cast("string").alias("report_id"), *[F.col(f"`{c}`").cast("int").alias(c) for c in CATEGORIES])
+
+
 def reports(spark: SparkSession, path: str, table: str = "reports") -> DataFrame:
     """report_id, report (text as strings), pos: scan order by id. The id may have an older name; the source is never changed."""
     found = read_table(spark, path, table)

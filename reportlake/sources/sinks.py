@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reportlake.functions.text import one_line
+from reportlake.sources import xlsx
 
 
 def _whole(path: Path, write) -> Path:
@@ -57,6 +58,16 @@ def sqlite(tables: dict[str, DataFrame], path: str | Path) -> Path:
     return _whole(Path(path), write)
 
 
+def excel(tables: dict[str, DataFrame], path: str | Path) -> Path:
+    """Tables as the sheets of a new workbook, row by row from the driver; reports' texts stay out."""
+    return _whole(Path(path), lambda new: xlsx.write({name: (df.drop("report").columns, map(tuple, df.drop("report").toLocalIterator())) for name, df in tables.items()}, new))
+
+
+def lines(path: str | Path, values: Iterable[str]) -> Path:
+    """A text file with a value a line."""
+    return _lines(path, values)
+
+
 def manifest(target: str | Path, /, **facts) -> Path:
     return _whole(Path(target), lambda new: new.write_text(json.dumps(facts, indent=2, sort_keys=True)))
 
@@ -114,12 +125,21 @@ def alignment_report(distribution: DataFrame, overall: DataFrame | None, disagre
     return _lines(path, lines())
 
 
-def training_report(means: DataFrame, lengths: DataFrame, path: str | Path) -> Path:
+def training_report(folds: DataFrame | None, means: DataFrame | None, lengths: DataFrame, missing: list[str], path: str | Path, **facts) -> Path:
+    """Facts of the run, token lengths, each label's folds and means, and the labels that couldn't be trained."""
+
     def lines():
+        for name, value in facts.items():
+            yield f"{name}: {value}"
         n = lengths.first()
         yield f"tokens: average {n.avg_len:.4f}  longest {n.max_len}  shortest {n.min_len}"
-        for r in means.orderBy("category").collect():
-            yield f"{r.category}: accuracy {r.accuracy:.4f}  precision {r.precision:.4f}  recall {r.recall:.4f}  f1 {r.f1:.4f}"
+        scores: dict[str, list] = {}
+        for r in folds.orderBy("category", "fold").collect() if folds is not None else ():
+            scores.setdefault(r.category, []).append(f"{r.accuracy:.4f}")
+        for r in means.orderBy("category").collect() if means is not None else ():
+            yield f"{r.category}: accuracy {r.accuracy:.4f} ({', '.join(scores[r.category])})  precision {r.precision:.4f}  recall {r.recall:.4f}  f1 {r.f1:.4f}"
+        for label in missing:
+            yield f"{label}: not trained, its rows are all of one class"
 
     return _lines(path, lines())
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import math
 import random
 import re
 import sqlite3
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from reportlake.functions import decisions, jsonrepair, polarity, text
-from reportlake.operators import alignment, annotate, baseline, encoders, factuality, metrics, parsing, reshape, selection, terms
+from reportlake.operators import alignment, annotate, baseline, encoders, factuality, metrics, numbering, parsing, reshape, selection, terms
 from reportlake.plans import catalogue
 from reportlake.schema import CATEGORIES, LABELS, REPORTS, conform, has_all_labels, id_column, require
 from reportlake.sources import readers, runs, sinks, sqlite
@@ -227,6 +229,7 @@ def test_fuzzy_query_reads_whole_reports(spark, tmp_path):
 def test_length_bound_drops_no_match(a, b):
     if factuality.ratio(a, b) >= factuality.FUZZY:
         assert min(len(a), len(b)) >= factuality.LEAST_ALIKE * max(len(a), len(b))
+        assert factuality.alike(a, b)
 
 
 def test_no_python_before_the_first_stage(spark):
@@ -269,8 +272,43 @@ def test_baseline(spark):
     assert out.where("decision >= 3").count() == 30
     top = baseline.attributed(df, got.models, steps.stages[-1].vocabulary, k=3)
     assert top.groupBy("report_id").count().agg(F.max("count")).first()[0] == 3
+    vocabulary = steps.stages[-1].vocabulary
+    words = baseline.with_top_words(out, top).where("report_id = '1'").first().top_words
+    assert words.count("(") == 3 and "spike" in words + "wave"
+    told = baseline.explained(df, got.models, vocabulary, 1000).groupBy("report_id", "base", "log_odds").agg(F.sum("value").alias("s")).collect()
+    assert len(told) == 60 and all(abs(r.base + r.s - r.log_odds) < 1e-9 for r in told)
+    chance = {r.report_id: r.probability for r in out.collect()}
+    assert all(abs(1 / (1 + math.exp(-r.log_odds)) - chance[r.report_id]) < 1e-9 for r in told)
     few = df.select("pos", F.lit("A").alias("category"), F.col("Abnormality").alias("decision"), "features")
-    assert list(baseline.polarity_models(few, ["A", "B"])) == ["A"]
+    models = baseline.polarity_models(few, ["A", "B"])
+    assert list(models) == ["A"]
+    long = df.select("report_id", F.when(F.col("pos") < 50, "A").otherwise("B").alias("category"), F.col("Abnormality").alias("decision"), F.col("report").alias("reason"), F.when(F.col("pos") > 1, F.col("features")).alias("features"))
+    judged = alignment.judged(baseline.model_polarity(long, models)).collect()
+    assert len(judged) == 60 and all(r.reason_polarity == (0 if int(r.report_id) in (0, 1) or r.category == "B" else r.label_polarity) for r in judged)
+    assert baseline.trained(df, ["Focal Epi"]).metrics is None
+
+
+def test_masked_tokens(spark):
+    rows = [(str(i), i, "spike wave here" if i % 2 else "calm rest here", 4 if i % 2 else 1) for i in range(30)] + [("x", 99, "", None)]
+    df = spark.createDataFrame(rows, "report_id string, pos long, report string, Abnormality int")
+    encode = encoders.encoder("hashing", dim=32)
+    models = baseline.trained(baseline.encoded(df, encode), ["Abnormality"], folds=3).models
+    got = baseline.masked(df.where("report_id IN ('1', 'x')"), models, encode).orderBy("place").collect()
+    assert [(r.report_id, r.token) for r in got] == [("1", "spike"), ("1", "wave"), ("1", "here")]
+    assert got[0].effect + got[1].effect > abs(got[2].effect)
+
+
+def test_folds_of_rows_without_a_class(spark):
+    rows = spark.createDataFrame([(i, None if i % 3 == 0 else i % 2) for i in range(30)], "pos long, y int")
+    got = selection.stratified_folds(rows, folds=5).collect()
+    assert len(got) == 30 and {(r.y, r.fold) for r in got} == {(y, f) for y in (None, 0, 1) for f in range(5)}
+
+
+def test_numbers_over_many_parts(spark):
+    values = [i * 7919 % 1009 for i in range(900)] + [None, None]
+    for parts in (1, 2, 5, 64, 300):
+        got = numbering.numbered(spark.createDataFrame([(v,) for v in values], "k long").repartition(3), ["k"], "at", parts=parts).collect()
+        assert sorted(r["at"] for r in got) == list(range(902)) and [r.k for r in sorted(got, key=lambda r: r["at"])][2:] == sorted(values[:900])
 
 
 # ---- annotation ----
@@ -290,10 +328,49 @@ def test_annotation(spark):
     for k in "123":
         assert set(json.loads(rows[k].classifications)) == set(LABELS)
     assert rows["4"].classifications is None
+    wrong = annotate.unanswered(annotate.answered(df)).collect()
+    assert [(r.report_id, r.error_type) for r in wrong] == [("4", "Annotation")] and "tokens" in wrong[0].error_message
     ok = annotate.annotated(df.where("report_id < '4'")).select(annotate.is_classification(F.col("classifications")).alias("a"), annotate.is_explanation(F.col("explanations")).alias("b"))
     assert {tuple(r) for r in ok.collect()} == {(True, True)}
     with pytest.raises(ValueError):
         annotate.annotated(df, "other")
+    assert {"stub", "mistral", "deepseek", "deepseek-chat", "hermes-mistral", "hermes-llama2"} <= set(annotate.available())
+    with pytest.raises(Exception, match="no model file"):
+        annotate.annotated(df, "mistral", folder="/nowhere").collect()
+
+
+class Rude(annotate.Backend):
+    def answer(self, prompt, sampling, grammar):
+        return "Sure! {}" if grammar == annotate.CLASSIFY_GRAMMAR else str(sampling.max_tokens)
+
+
+def test_answers_are_held_against_their_grammar(spark, monkeypatch):
+    monkeypatch.setitem(annotate.BACKENDS, "rude", Rude)
+    (r,) = annotate.answered(spark.createDataFrame([("1", "x" * 8000)], "report_id string, report string"), "rude").collect()
+    assert r.classifications == "Sure! {}" and r.error == "classifications: answer breaks its grammar; explanations: answer breaks its grammar"
+    # the room that is left bounds the answer
+    assert annotate.ROOM <= int(r.explanations) < 4096 - 2000
+
+
+def test_encoders_of_local_models():
+    for name in encoders.MODELS:
+        with pytest.raises(FileNotFoundError, match="model.onnx"):
+            encoders.encoder(name, "/nowhere")
+    with pytest.raises(ValueError):
+        encoders.encoder("other")
+
+
+def test_support_is_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(factuality, "PHRASES", 7)
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(120)] + [(200, None), (201, [0.0] * 6), (202, [float("nan")] * 6), (203, [1.0, None]), (204, [1.0, 2.0]), (205, [2.0, 4.0]), (206, [])]
+    v = spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
+    cos = lambda a, b: float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b))
+    good = [(i, x) for i, x in rows if i < 120 or i in (204, 205)]
+    want = {(a, b) for a, x in good for b, y in good if (a % 3 == 0 or a == 204) and a != b and len(x) == len(y) and cos(x, y) >= 0.6}
+    got = factuality.supported(v.where("id % 3 = 0 OR id = 204"), v, 0.6).collect()
+    assert {(r.phrase_id, r.report_id) for r in got} == want and len(got) == len(want)
+    assert factuality.supported(v.limit(0), v).count() == 0
 
 
 def test_stream(spark, tmp_path):
@@ -340,7 +417,30 @@ def test_sqlite_and_csv_round_trip(spark, tmp_path):
     assert readers.read_table(spark, str(tmp_path / "t.db"), "t").count() == 1
     assert sinks.errors(odd.limit(0), tmp_path / "e.csv") is None
     with pytest.raises(ValueError):
-        readers.read_table(spark, "x.xlsx")
+        readers.read_table(spark, "x.docx")
+
+
+def test_workbooks(spark, tmp_path):
+    rows = [("a<b>&\"c\" \n é👍", 4, None, 1.5, True), (None, -7, "  x ", None, None), ("\x0b]]>", 0, "", 2.0, False)]
+    df = spark.createDataFrame(rows, "t string, i int, `Focal Epi Reasons` string, d double, b boolean").withColumn("report", F.lit("secret"))
+    out = sinks.excel({"explanations": df.coalesce(1), "two & more": df.limit(0)}, tmp_path / "w.xlsx")
+    back = readers.read_table(spark, str(out), "explanations")
+    assert back.columns == ["t", "i", "Focal Epi Reasons", "d", "b"]
+    assert [tuple(r) for r in back.collect()] == [(rows[0][0], "4", None, "1.5", "True"), (None, "-7", "  x ", None, None), ("]]>", "0", "", "2.0", "False")]
+    assert readers.read_table(spark, str(out), "two & more").count() == 0
+    with pytest.raises(ValueError):
+        readers.read_table(spark, str(out), "absent")
+
+
+def test_explanations_wide_and_long(spark, tmp_path):
+    long = spark.createDataFrame([("1", c, i % 4 + 1, f"reason {i}") for i, c in enumerate(CATEGORIES)], "report_id string, category string, decision int, reason string")
+    wide = reshape.wide_reasons(long).withColumnRenamed("report_id", "Hashed ID").withColumn("Report", F.lit("text"))
+    sinks.excel({"explanations": wide.drop("Report")}, tmp_path / "e.xlsx")
+    wide.write.parquet(str(tmp_path / "folder"))
+    want = sorted(map(tuple, long.collect()))
+    for path in ("e.xlsx", "folder"):
+        assert sorted(tuple(r)[:4] for r in readers.explanations(spark, str(tmp_path / path)).collect()) == want
+    assert {r.report for r in readers.explanations(spark, str(tmp_path / "folder")).collect()} == {"text"}
 
 
 def test_reports(spark, tmp_path):
