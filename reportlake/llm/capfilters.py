@@ -183,6 +183,17 @@ def _worked(dim: int, cosine: float):
     return run
 
 
+def _dealt(listed: DataFrame) -> DataFrame:
+    """Rows of listed(id, v, weight, filters) once for each unit of work that they take part in: filter, blocks i and j, and the row's own block."""
+    each = listed.select(F.explode("filters").alias("filter"), "id", "weight", "v", "filters")
+    # a cap's size in whole numbers of blocks; its table is small against the rows, and its size is checked
+    large = each.groupBy("filter").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 2 * BLOCK).select("filter", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"))
+    large = stored(large, "large")
+    each = each.join(F.broadcast(large) if large.count() <= LARGE else large, "filter", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    each = each.withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return each.select("filter", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "weight", "v", "filters", "block")
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, n_links (other vectors linked directly), component_id (least id reachable), kept."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
@@ -196,13 +207,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
         codes = Codes(dim, n, cosine)
         kind = nodes.schema["v"].dataType.simpleString()
         listed = stored(nodes.where(F.size("v") == dim).select("id", "v", "weight").mapInArrow(_listed(codes), f"id long, v {kind}, weight long, filters array<int>"), f"filters_{dim}")
-        each = listed.select(F.explode("filters").alias("filter"), "id", "weight", "v", "filters")
-        # a cap's size in whole numbers of blocks; its table is small against the rows, and its size is checked
-        large = each.groupBy("filter").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 2 * BLOCK).select("filter", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"))
-        large = stored(large, f"large_{dim}")
-        each = each.join(F.broadcast(large) if large.count() <= LARGE else large, "filter", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-        each = each.withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        each = each.select("filter", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "weight", "v", "filters", "block")
+        each = _dealt(listed)
         each = each.repartition("filter", "i", "j").sortWithinPartitions("filter", "i", "j", "id")
         found = stored(each.mapInArrow(_worked(dim, cosine), "id long, links long, root long"), f"links_{dim}")
         part, edge = found.groupBy("id").agg(F.sum("links").alias("links")), found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")).distinct()

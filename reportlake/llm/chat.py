@@ -7,11 +7,13 @@ placeholder belongs to the n-th attachment. DataFrame operations only.
 
 The template is `<|begin|>` then, for each turn, `<|turn|>ROLE<|text|>BODY<|stop|>`, then `<|end|>`. Inside roles
 and texts `&`, `<` and `[` become `&amp;`, `&lt;` and `&lsqb;`, so neither this template's control strings nor
-any other that starts with `<` or `[` survives in a text, and unescaping gives the text back exactly.
+any other that starts with `<` or `[` survives in a text, and unescaping gives the text back exactly. read_parts() gives the
+typed parts of a body back: a placeholder is a part, the same characters in a text are text.
 
 Defined results: a null text or null parts give an empty body, a null role an empty role; turns go by turn
 number, null first, then role, then body; repeated rows are turns of their own; null conv_ids form one conversation.
-Other columns are ignored. An empty table gives an empty result. An unknown kind of part is an empty piece.
+Other columns are ignored. An empty table gives an empty result. A part of an unknown kind, or of none, is
+flattened to its text.
 One conversation becomes one string, so a conversation is as large as a row may be.
 """
 
@@ -52,8 +54,8 @@ def visit(part: Column, fields: set[str]) -> Column:
     patches = up(get("width", "int") / PATCH) * up(get("height", "int") / PATCH)
     tokens = F.when(kind == "image", patches).when(kind == "audio", up(get("seconds", "double") * A_SECOND)).when(kind == "document", F.coalesce(get("pages", "int"), F.lit(0)) * A_PAGE)
     attached = kind.isin("image", "audio", "document")
-    piece = F.when(kind == "text", escape(F.coalesce(part["text"], F.lit("")))).when(attached, F.concat(F.lit("<|"), kind, F.lit("|>"))).otherwise("")
-    return F.struct(piece.alias("piece"), attached.alias("attached"), kind.alias("kind"), get("uri", "string").alias("uri"), tokens.cast("long").alias("tokens"))
+    piece = F.when(attached, F.concat(F.lit("<|"), kind, F.lit("|>"))).otherwise(escape(F.coalesce(part["text"], F.lit(""))))
+    return F.struct(piece.alias("piece"), F.coalesce(attached, F.lit(False)).alias("attached"), kind.alias("kind"), get("uri", "string").alias("uri"), tokens.cast("long").alias("tokens"))
 
 
 def formatted(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -88,10 +90,24 @@ def formatted(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) ->
     )
 
 
+def _turns(text: Column, turn) -> Column:
+    """turn(role, body) of each turn of a formatted conversation, both still escaped."""
+    pieces = F.filter(F.split(text, r"<\|turn\|>"), lambda p, i: i > 0)
+    return F.transform(pieces, lambda p: turn(F.substring_index(p, TEXT, 1), F.substring_index(F.substring_index(p, TEXT, -1), STOP, 1)))
+
+
+def read_parts(text: Column) -> Column:
+    """Turns of a formatted conversation with their parts: array<struct<role, parts: array<struct<kind, text>>>>; an attachment's text is null."""
+    mark = r"<\|(?:image|audio|document)\|>"
+    holds = lambda b: F.filter(F.split(b, f"(?={mark})|(?<=<\\|(?:image|audio|document)\\|>)"), lambda x: x != "")
+    kind = lambda x: F.when(F.startswith(x, F.lit("<|")), F.substring_index(F.substring(x, 3, 1 << 30), "|>", 1))
+    part = lambda x: F.struct(F.coalesce(kind(x), F.lit("text")).alias("kind"), F.when(kind(x).isNull(), unescape(x)).alias("text"))
+    return _turns(text, lambda role, body: F.struct(unescape(role).alias("role"), F.transform(holds(body), part).alias("parts")))
+
+
 def read_back(text: Column) -> Column:
     """Turns of a formatted conversation, unescaped: array<struct<role, text>>."""
-    pieces = F.filter(F.split(text, r"<\|turn\|>"), lambda p, i: i > 0)
-    return F.transform(pieces, lambda p: F.struct(unescape(F.substring_index(p, TEXT, 1)).alias("role"), unescape(F.substring_index(F.substring_index(p, TEXT, -1), STOP, 1)).alias("text")))
+    return _turns(text, lambda role, body: F.struct(unescape(role).alias("role"), unescape(body).alias("text")))
 
 
 def loss_text(text: Column, spans: Column) -> Column:

@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,12 +136,83 @@ def test_chat_parts(spark):
     rows = [(1, 0, "user", [("text", "see ", None, None, None, None, None), ("image", None, "i.png", 56, 30, None, None), ("audio", None, "a.wav", None, None, 1.5, None), ("document", None, "d.pdf", None, None, None, 2), ("other", "no", None, None, None, None, None)]), (1, 1, "assistant", None)]
     df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts {chat.PARTS}")
     r = chat.formatted(df).first()
-    assert "<|text|>see <|image|><|audio|><|document|><|stop|>" in r.formatted
+    assert "<|text|>see <|image|><|audio|><|document|>no<|stop|>" in r.formatted
     assert [(a.turn, a.kind, a.uri, a.tokens) for a in r.attachments] == [(0, "image", "i.png", 4), (0, "audio", "a.wav", 38), (0, "document", "d.pdf", 512)]
     assert r.attachment_tokens == 554
     assert chat.formatted(df.limit(0)).count() == 0
 
 
+def test_chat_parts_come_back_typed(spark):
+    part = lambda kind, text: (kind, text, None, None, None, None, None)
+    rows = [(1, 0, "user", [part("text", "a <|image|> [b]"), part("image", None), part("audio", "x"), part("text", "&lt;|audio|>"), part("video", "hi"), part(None, "there")]), (1, 1, "assistant", [])]
+    df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts {chat.PARTS}")
+    first, second = chat.formatted(df).select(chat.read_parts(F.col("formatted")).alias("t")).first().t
+    assert [tuple(p) for p in first.parts] == [("text", "a <|image|> [b]"), ("image", None), ("audio", None), ("text", "&lt;|audio|>hithere")]
+    assert (first.role, second.role, second.parts) == ("user", "assistant", [])
+
+
+def test_shards_keep_groups_whole_up_to_a_shard(spark):
+    rows = [(i, f"t{i} " * 40, None, None, 0) for i in range(1500)] + [(9000 + i, "hot " * 90, None, None, 0) for i in range(150)] + [(None, "own", None, None, 0), (None, "own", None, None, 0), (7, None, None, None, 0)]
+    df = spark.createDataFrame(rows, DOCS).withColumn("size", F.lit("x")).withColumn("_hash", F.lit(1)).withColumn("shard", F.lit(None).cast("int"))
+    got = sharding.sharded(df, 4).collect()
+    load = [0] * 4
+    for r in got:
+        load[r.shard] += r.size
+    hot = sum(r.size for r in got if r.doc_id is not None and r.doc_id >= 9000)
+    assert 0.5 * sum(load) / 4 < hot < sum(load) / 4
+    assert len({r.shard for r in got if r.doc_id is not None and r.doc_id >= 9000}) == 1 and len({r.shard for r in got if r.doc_id is None}) == 1
+    assert max(load) < 1.02 * sum(load) / 4 and len(got) == len(rows)
+
+
+def test_whole_groups_are_split_only_where_shards_would_be_uneven():
+    low = sharding.LOWEST
+    # five groups of three fifths of a shard's size can't lie whole in three even shards
+    splitters = [(10 * g, d) for g in range(1, 6) for d in (low, *range(5))]
+    sizes = {0: 0} | {r: 100 for r in range(1, len(splitters) + 1)}
+    home = sharding._homes(sorted(sizes), splitters, sizes, 3)
+    load = [sum(sizes[r] for r in sizes if home[r] == k) for k in range(3)]
+    assert max(load) <= 1.02 * sum(load) / 3
+    whole = [len({home[r] for r in sizes if r and splitters[r - 1][0] == 10 * g}) == 1 for g in range(1, 6)]
+    assert sum(whole) >= 3
+
+
+def test_packed_numbers():
+    rng = random.Random(1)
+    numbers = [rng.randrange(1 << rng.choice([1, 7, 8, 14, 15, 21, 22, 40])) for _ in range(2000)] + [0, 127, 128, 16383, 16384]
+    assert list(bpe.unpacked(bpe.packed(np.array(numbers)))) == numbers and len(bpe.packed(np.zeros(0, int))) == 0 == len(bpe.unpacked(np.zeros(0, np.uint8)))
+
+
+def test_bpe_in_small_blocks(spark, table, monkeypatch):
+    want = sorted(map(tuple, bpe.coded(table, carry=("doc_id", "lang")).collect()), key=repr)
+    monkeypatch.setattr(bpe, "BLOCK", 200)
+    renamed = table.withColumn("block", F.lit(1)).withColumn("words", F.lit("x")).withColumn("carry", F.col("lang"))
+    got = bpe.coded(renamed, carry=("doc_id", "carry", "block"))
+    assert got.columns[:3] == ["doc_id", "carry", "block"]
+    assert sorted((r.doc_id, r.carry, *r[3:]) for r in got.collect() if r.carry is not None) == sorted((w for w in want if w[1] is not None))
+
+
+def test_bpe_refuses_tokenizers_that_join_words():
+    with pytest.raises(ValueError):
+        bpe._loaded(bpe.vocabulary_path("byte_bpe_50k.json"))
+
+
+def test_decoding_of_odd_rows(spark):
+    rows = spark.createDataFrame([(1, [5, 6]), (1, [5, 6]), (2, []), (3, None), (None, [6])], "doc_id long, ids array<int>").withColumn("_at", F.lit(1))
+    pieces = [p.decode() for p in bpe._loaded(bpe.vocabulary_path())[1]]
+    got = sorted((r.doc_id, r.decoded) for r in bpe.decode(rows).where("doc_id IS NOT NULL").collect() if r.decoded is not None)
+    two = f"{pieces[5]} {pieces[6]}"
+    assert got == [(1, two), (1, two), (2, "")] and bpe.decode(rows).where("doc_id = 3 AND decoded IS NULL").count() == 1
+
+
+def test_mix_of_rows_without_ids(spark):
+    rows = [(None, f"w{i} " * 5, None, "a", 0) for i in range(200)] + [(i, "x y z", None, "b", 0) for i in range(20)] + [(None, "", None, None, 0)]
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    out = mixing.mixed(df).collect()
+    plan = mixing.plan(df, cut="documents").collect()
+    assert sum(len(r.text.split()) for r in out) == sum(r.taken for r in plan) and sum(r.text == "" for r in out) == 1
+    assert len({r.text for r in out if r.source == "a"}) == len({r.text for r in out if r.source == "a" and r.doc_id is None})
+
+
 def test_bpe(spark, table):
     from tokenizers import Tokenizer
 
