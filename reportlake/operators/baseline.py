@@ -146,11 +146,16 @@ def masked(rows: DataFrame, models: dict[str, LogisticRegressionModel], encode:
     return out.where("place > 0").join(whole, ["report_id", "category"]).select("report_id", "category", "place", "token", (F.col("whole") - F.col("p")).alias("effect"))
 
 
-def polarity_models(train: DataFrame, categories: list[str], most: int = 200, least: int = 50) -> dict[str, LogisticRegressionModel]:
-    """Models of a reason's polarity from train(pos, category, decision, features): of each category the first rows that
-    have a reason, if there are enough and both polarities occur. Labels are polarities, so predictions can be held against them."""
+def polarity_rows(train: DataFrame, most: int = 200) -> DataFrame:
+    """The rows that a category's polarity model learns from: the first `most` of train(pos, category, decision, reason) with a reason and a decision, with y."""
     rank = F.row_number().over(Window.partitionBy("category").orderBy("pos"))
-    rows = train.where("features IS NOT NULL AND decision BETWEEN 1 AND 4").withColumn("r", rank).where(F.col("r") <= most).withColumn("y", binary(F.col("decision"))).cache()
+    return train.where("reason IS NOT NULL AND decision BETWEEN 1 AND 4").withColumn("_r", rank).where(F.col("_r") <= most).drop("_r").withColumn("y", binary(F.col("decision")))
+
+
+def polarity_models(train: DataFrame, categories: list[str], most: int = 200, least: int = 50) -> dict[str, LogisticRegressionModel]:
+    """Models of a reason's polarity from train(pos, category, decision, reason, features): of each category by polarity_rows(),
+    if they are enough and both polarities occur. Labels are polarities, so predictions can be held against them."""
+    rows = polarity_rows(train, most).cache()
     sizes = {r.category: r for r in rows.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("y").alias("kinds")).collect()}
     found = {c: classifier(sizes[c].n).fit(rows.where(F.col("category") == c)) for c in categories if c in sizes and sizes[c].n >= least and sizes[c].kinds > 1}
     rows.unpersist()

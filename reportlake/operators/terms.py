@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reportlake.functions.decisions import confidence
 from reportlake.functions.text import terms
 
 
@@ -58,6 +59,25 @@ def attributions(counts: DataFrame, weights: DataFrame, size: int) -> DataFrame:
     return counts.join(F.broadcast(weights) if size <= WEIGHTS else weights, "term").select("report_id", "category", "term", "idx", (F.col("n") * F.col("coef")).alias("weight"))
 
 
+def linear_decisions(reports: DataFrame, attributed: DataFrame, intercepts: dict[str, float], epsilon: float = 0.1) -> DataFrame:
+    """report_id, category, probability, decision of every report by linear models over terms: the logistic function of a label's
+    intercept and the report's weights for it. A report without known terms is decided by the intercept."""
+    labels = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(float(b)).alias("base")) for c, b in intercepts.items()])
+    each = reports.select("report_id", F.explode(labels).alias("l")).select("report_id", "l.*")
+    sums = attributed.groupBy("report_id", "category").agg(F.sum("weight").alias("logit"))
+    scored = each.join(sums, ["report_id", "category"], "left")
+    p = 1 / (1 + F.exp(-(F.col("base") + F.coalesce("logit", F.lit(0.0)))))
+    return scored.select("report_id", "category", p.alias("probability")).withColumn("decision", confidence(F.col("probability"), epsilon))
+
+
+def vectors(docs: DataFrame, stop: list[str], vocabulary: list[str], longest: int = 1) -> DataFrame:
+    """report_id and `features`, a sparse vector of how often each term of a fixed vocabulary occurs; other terms are ignored."""
+    from pyspark.ml.feature import CountVectorizerModel
+
+    model = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="features")
+    return model.transform(docs.select("report_id", F.coalesce(ngrams(kept_terms(F.col("report"), stop), longest), F.array().cast("array<string>")).alias("grams"))).drop("grams")
+
+
 def top_terms(attributed: DataFrame, k: int = 30, nonzero: bool = False) -> DataFrame:
     """The k strongest by absolute weight for each report and category; ties keep the vocabulary's order."""
     rows = attributed.where("weight <> 0") if nonzero else attributed

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,6 +131,11 @@ def one_line_text(spark, sf_dir):
     return reports(spark, sf_dir).select("report_id", F.md5(text.one_line(F.col("report")).cast("binary")).alias("line_md5"))
 
 
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS report_id, md5({derived.comparable_sql('text')}) AS sorted_md5 FROM documents")
+def sorted_tokens_text(spark, sf_dir):
+    return reports(spark, sf_dir).select("report_id", F.md5(factuality.comparable(F.col("report")).cast("binary")).alias("sorted_md5"))
+
+
 def _polarity_sql(x: str) -> str:
     q = lambda ps: "|".join(f"(?:{p})" for p in ps).replace("(?<!ab)", "").replace("'", "''")
     s = f"regexp_replace(lower(coalesce({x}, '')), '^\\s+|\\s+$', '', 'g')"
@@ -246,16 +252,11 @@ STAGED = """words AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS report_id, text
 staged AS (SELECT report_id, 'Abnormality' AS category, report, CASE doc_id % 4 WHEN 0 THEN array_to_string(list_reverse(string_split(flat, ' ')), ' ') WHEN 1 THEN flat WHEN 2 THEN 'qqqq zzzz; xxxx' END AS reason FROM words)"""
 
 
-def _sorted_sql(x: str) -> str:
-    plain = f"regexp_replace({x}, '[\u0080-\u00ff]', '', 'g')"
-    return f"array_to_string(list_sort(string_split({normalized_sql(plain)}, ' ')), ' ')"
-
-
 @query(f"""WITH {STAGED}, n AS (SELECT *, {normalized_sql("report")} AS rn, list_filter(list_transform(string_split(coalesce(reason, ''), ';'), lambda x: {normalized_sql("x")}), lambda x: x <> '') AS ph FROM staged),
-o AS (SELECT *, coalesce(list_bool_or(list_transform(ph, lambda x: contains(rn, x))), false) AS direct, {_sorted_sql("rn")} AS b FROM n)
+o AS (SELECT *, coalesce(list_bool_or(list_transform(ph, lambda x: contains(rn, x))), false) AS direct, {derived.comparable_sql("rn")} AS b FROM n)
 SELECT report_id, category, md5(CASE WHEN trim(regexp_replace(coalesce(reason, ''), '\\s+', ' ', 'g')) = '' THEN '{NO_REASON_GIVEN}' ELSE reason END) AS reason_md5,
-  direct OR coalesce(list_bool_or(list_transform(ph, lambda x: b <> '' AND {_sorted_sql("x")} = b)), false) AS matched,
-  CASE WHEN direct THEN 'substring' WHEN coalesce(list_bool_or(list_transform(ph, lambda x: b <> '' AND {_sorted_sql("x")} = b)), false) THEN 'fuzzy' END AS stage FROM o""")
+  direct OR coalesce(list_bool_or(list_transform(ph, lambda x: b <> '' AND {derived.comparable_sql("x")} = b)), false) AS matched,
+  CASE WHEN direct THEN 'substring' WHEN coalesce(list_bool_or(list_transform(ph, lambda x: b <> '' AND {derived.comparable_sql("x")} = b)), false) THEN 'fuzzy' END AS stage FROM o""")
 def factuality_stages(spark, sf_dir):
     """The audit without an encoder where the second stage's outcome is plain: a reason has the report's very words in another order, or no word of it."""
     flat = F.replace("report", F.lit(";"), F.lit(" "))
@@ -340,11 +341,25 @@ def bow_vocabulary(spark, sf_dir):
     return terms.vocabulary(reports(spark, sf_dir), STOP, 1000)
 
 
-@query(f"""WITH {COUNTS}, g AS (SELECT report_id, unnest(t) AS term FROM tok UNION ALL SELECT report_id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM tok
-  UNION ALL SELECT report_id, unnest(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) FROM tok)
-SELECT term, count(*) AS n FROM g GROUP BY term HAVING count(*) >= 5""")
+def _grams_sql() -> str:
+    each = ["SELECT report_id, unnest(t) AS term FROM tok"]
+    for n in range(2, baseline.LONGEST + 1):
+        words = " || ' ' || ".join(f"t[i + {k}]" for k in range(n))
+        each.append(f"SELECT report_id, unnest(list_transform(range(1, len(t) - {n - 2}), lambda i: {words})) FROM tok")
+    return " UNION ALL ".join(each)
+
+
+@query(f"WITH {COUNTS}, g AS ({_grams_sql()}) SELECT term, count(*) AS n FROM g GROUP BY term HAVING count(*) >= 5")
 def ngram_counts(spark, sf_dir):
-    return terms.term_counts(reports(spark, sf_dir), STOP, 3).groupBy("term").agg(F.sum("n").alias("n")).where("n >= 5")
+    return terms.term_counts(reports(spark, sf_dir), STOP, baseline.LONGEST).groupBy("term").agg(F.sum("n").alias("n")).where("n >= 5")
+
+
+@query(f"""WITH {COUNTS}, v AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS idx FROM (SELECT term FROM counts GROUP BY term ORDER BY sum(n) DESC, term LIMIT 1000))
+SELECT c.report_id, CAST(v.idx AS INTEGER) AS idx, CAST(c.n AS DOUBLE) AS n FROM counts c JOIN v ON v.term = c.term""")
+def bow_vectors(spark, sf_dir):
+    words = [r.term for r in terms.vocabulary(reports(spark, sf_dir), STOP, 1000).orderBy("idx").collect()]
+    rows = terms.vectors(reports(spark, sf_dir), STOP, words)
+    return rows.select("report_id", F.posexplode(vector_to_array("features")).alias("idx", "n")).where("n <> 0")
 
 
 @query(f"WITH {COUNTS} SELECT avg(len(t)) AS avg_len, CAST(max(len(t)) AS INTEGER) AS max_len, CAST(min(len(t)) AS INTEGER) AS min_len FROM tok")
@@ -375,6 +390,23 @@ def top_terms(spark, sf_dir):
     return terms.top_terms(_attributed(spark, sf_dir), 20, nonzero=True).select("report_id", "category", "term", "weight", "rank")
 
 
+@query(f"""WITH {WEIGHTS}, s AS (SELECT report_id, category, sum(weight) AS logit FROM w GROUP BY report_id, category),
+p AS (SELECT t.report_id, k.category, 1 / (1 + exp(-(k.base + coalesce(s.logit, 0) / 8))) AS p FROM tok t CROSS JOIN (VALUES ('Focal Epi', -0.5::DOUBLE), ('Abnormality', 0.25::DOUBLE)) k(category, base) LEFT JOIN s ON s.report_id = t.report_id AND s.category = k.category)
+SELECT report_id, category, round(p, 6) AS probability, CASE WHEN p < 0.4::DOUBLE THEN 1 WHEN p < 0.5 THEN 2 WHEN p < 0.6::DOUBLE THEN 3 ELSE 4 END AS decision FROM p""")
+def label_inference(spark, sf_dir):
+    """Linear models of two labels decide every report."""
+    weights = _attributed(spark, sf_dir).withColumn("weight", F.col("weight") / 8)
+    out = terms.linear_decisions(reports(spark, sf_dir), weights, {"Focal Epi": -0.5, "Abnormality": 0.25})
+    return out.withColumn("probability", F.round("probability", 6))
+
+
+@query(f"""WITH {LONG_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY doc_id) AS k FROM long WHERE reason IS NOT NULL AND decision BETWEEN 1 AND 4)
+SELECT report_id, category, CASE WHEN decision >= 3 THEN 1 ELSE 0 END AS y FROM r WHERE k <= 200""")
+def polarity_training_rows(spark, sf_dir):
+    rows = long_rows(spark, sf_dir).withColumn("pos", F.col("doc_id")).drop("report")
+    return baseline.polarity_rows(rows).select("report_id", "category", "y")
+
+
 @query()
 def baseline_inference(spark, sf_dir):
     """Trains on labelled documents with hashed-encoder features, then decides every document."""
@@ -452,3 +484,9 @@ def run_filename_fields(spark, sf_dir):
     d = F.col("doc_id")
     name = F.when(d % 5 == 4, F.concat(F.lit("other_"), d.cast("string"), F.lit(".csv"))).otherwise(F.concat(F.lit("raw_zoe_reports_"), F.col("lang"), F.lit("_mistral_"), F.col("n_chars").cast("string"), F.lit("_v"), (d % 7).cast("string"), F.lit("_run"), (d % 11).cast("string"), F.lit(".csv")))
     return name_fields(table(spark, sf_dir, "documents").select(name.alias("name")), "name")
+
+
+@query(f"WITH f AS ({SQL['run_filename_fields']}) SELECT dataset, model, count(DISTINCT version) AS versions, max(version) + 1 AS next_version FROM f WHERE version IS NOT NULL GROUP BY dataset, model")
+def next_versions(spark, sf_dir):
+    rows = run_filename_fields(spark, sf_dir).where("version IS NOT NULL")
+    return rows.groupBy("dataset", "model").agg(F.count_distinct("version").alias("versions"), (F.max("version") + 1).alias("next_version"))

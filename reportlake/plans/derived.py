@@ -114,3 +114,8 @@ def normalized_sql(x: str) -> str:
 
 def probability(c: Column, d: Column) -> Column:
     return ((d * 37 + c * 11) % 1001) / F.lit(1000.0)
+
+
+def comparable_sql(x: str) -> str:
+    plain = f"regexp_replace({x}, '[\u0080-\u00ff]', '', 'g')"
+    return f"array_to_string(list_sort(string_split({normalized_sql(plain)}, ' ')), ' ')"

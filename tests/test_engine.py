@@ -279,7 +279,7 @@ def test_baseline(spark):
     assert len(told) == 60 and all(abs(r.base + r.s - r.log_odds) < 1e-9 for r in told)
     chance = {r.report_id: r.probability for r in out.collect()}
     assert all(abs(1 / (1 + math.exp(-r.log_odds)) - chance[r.report_id]) < 1e-9 for r in told)
-    few = df.select("pos", F.lit("A").alias("category"), F.col("Abnormality").alias("decision"), "features")
+    few = df.select("pos", F.lit("A").alias("category"), F.col("Abnormality").alias("decision"), F.col("report").alias("reason"), "features")
     models = baseline.polarity_models(few, ["A", "B"])
     assert list(models) == ["A"]
     long = df.select("report_id", F.when(F.col("pos") < 50, "A").otherwise("B").alias("category"), F.col("Abnormality").alias("decision"), F.col("report").alias("reason"), F.when(F.col("pos") > 1, F.col("features")).alias("features"))
