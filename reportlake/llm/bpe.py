@@ -11,8 +11,8 @@ A tokenizer whose pieces never cross ASCII white space encodes a text as its wor
 
 Only distinct words of blocks and their ids are shuffled. Documents aren't: the places are a table bucketed by block,
 so its rows stay where they are and the ids come to them. A word that every text holds is one entry of each block,
-whatever its number of occurrences, and blocks are of about equal size, so no key is hot. Words of a group are
-held by one task at a time, a block's places by another.
+whatever its number of occurrences, and blocks are of about equal size, so no key is hot. One task holds the distinct words of
+a group at a time, another a block's places with its words' ids.
 
 Defined results: a null text counts as empty and has no ids; its decoded text is empty. Very long texts and
 words are encoded whole; a text longer than a block is one of its own. Repeated rows give repeated rows. Columns named in
@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reportlake.llm.common import bucketed, row_word_hashes, sorted_runs, stored
+from reportlake.llm.common import PIECE, blocks, bucketed, row_word_hashes, stored, utf8
 
 #: Characters of a block's documents, and groups that words are dealt into.
 BLOCK, GROUPS = 16 << 20, 4096
@@ -149,11 +149,10 @@ def _split(carry: str):
             block, index, held, size = block + 1, _Index(), [], 0
 
         for batch in batches:
-            kind = batch.column(1).type
-            texts = pc.fill_null(batch.column(0), "")
-            for a in range(0, batch.num_rows, 500):
-                part = texts.slice(a, 500).to_pylist()
-                held.append((batch.column(1).slice(a, 500), [np.fromiter(map(index.__getitem__, _words(t)), np.int32) for t in part]))
+            kind, texts = batch.column(1).type, pc.fill_null(batch.column(0), "")
+            for a, b in blocks(utf8(texts)[1], PIECE):
+                part = texts.slice(a, b - a).to_pylist()
+                held.append((batch.column(1).slice(a, b - a), [np.fromiter(map(index.__getitem__, _words(t)), np.int32) for t in part]))
                 size += sum(map(len, part))
                 if size > BLOCK:
                     yield from done()
@@ -164,22 +163,31 @@ def _split(carry: str):
 
 
 def _encoded(path: str, width: str):
-    """Rows sorted by group in: the distinct words of a group are encoded once; block, group, and the sizes and ids of its words out."""
+    """Rows sorted by group in: each distinct word of a group is encoded once; block, group, and the sizes and ids of its words out.
+
+    A task holds the distinct words of one group at a time; rows stream by.
+    """
 
     def run(batches):
         tok, _ = _loaded(path)
-        for table in sorted_runs(batches, ["group"]):
-            ids: dict[str, bytes] = {}
-            for batch in table.to_batches(max_chunksize=1000):
-                split = [w.split(" ") for w in batch.column(2).to_pylist()]
-                new = list(set().union(*split).difference(ids))
-                for a in range(0, len(new), 5000):
-                    part = new[a : a + 5000]
-                    ids.update((w, np.array(e.ids, width).tobytes()) for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False), strict=True))
-                found = [[ids[w] for w in words] for words in split]
-                each = np.dtype(width).itemsize
+        known, group, each = {}, None, np.dtype(width).itemsize
+        for batch in batches:
+            of = batch.column(1).to_numpy()
+            heads = np.flatnonzero(np.diff(of)) + 1
+            for a, b in zip([0, *heads], [*heads, len(of)], strict=True):
+                if a == b:
+                    continue
+                if of[a] != group:
+                    known, group = {}, of[a]
+                part = batch.slice(int(a), int(b - a))
+                split = [w.split(" ") for w in part.column(2).to_pylist()]
+                new = list(set().union(*split).difference(known))
+                for x in range(0, len(new), 5000):
+                    words = new[x : x + 5000]
+                    known.update((w, np.array(e.ids, width).tobytes()) for w, e in zip(words, tok.encode_batch_fast(words, add_special_tokens=False), strict=True))
+                found = [[known[w] for w in words] for words in split]
                 sizes = [packed(np.array([len(x) // each for x in f])).tobytes() for f in found]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.binary()), pa.array([b"".join(f) for f in found], pa.binary())], ["block", "group", "sizes", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.binary()), pa.array([b"".join(f) for f in found], pa.binary())], ["block", "group", "sizes", "ids"])
 
     return run
 
