@@ -115,51 +115,57 @@ def unpacked(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def _split(carry: str):
-    """Rows of three kinds: a document's places; the groups of a block's words by place; the words of a group of a block."""
-    types = {"block": pa.int64(), "group": pa.int32(), "words": pa.large_string(), "groups": pa.binary(), "places": pa.binary()}
-
-    def rows(n, **columns):
-        return [columns.get(name, pa.nulls(n, kind)) for name, kind in types.items()]
-
-    def run(batches):
-        block = TaskContext.get().partitionId() << 32
-        index, held, size, kind = _Index(), [], 0, None
-
-        def done():
-            nonlocal block, index, held, size
-            flat = np.concatenate([p for _, places in held for p in places]) if held else np.zeros(0, np.int32)
-            count = np.bincount(flat, minlength=len(index))
-            order = np.argsort(-count, kind="stable")
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            for row, places in held:
-                blobs = pa.array([packed(rank[p]).tobytes() for p in places], pa.binary())
-                yield pa.RecordBatch.from_arrays([*rows(len(places), block=pa.array([block] * len(places), pa.int64()), places=blobs), row], [*types, carry])
-            if len(index):
-                words = list(index)
-                hashes = np.concatenate([h for *_, h, _ in row_word_hashes(pa.array([" ".join(words)], pa.large_string()))])
-                group = (hashes % np.uint64(GROUPS)).astype(np.int64)
-                by_rank = group[order]
-                yield pa.RecordBatch.from_arrays([*rows(1, block=pa.array([block], pa.int64()), groups=pa.array([by_rank.astype("<u2").tobytes()], pa.binary())), pa.nulls(1, kind)], [*types, carry])
-                by_group = np.argsort(by_rank, kind="stable")
-                bounds = np.flatnonzero(np.diff(by_rank[by_group], prepend=-1, append=-1))
-                texts = [" ".join([words[i] for i in order[by_group[a:b]]]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*rows(len(texts), block=pa.array([block] * len(texts), pa.int64()), group=pa.array(by_rank[by_group[bounds[:-1]]], pa.int32()), words=pa.array(texts, pa.large_string())), pa.nulls(len(texts), kind)], [*types, carry])
-            block, index, held, size = block + 1, _Index(), [], 0
-
-        for batch in batches:
-            kind, texts = batch.column(1).type, pc.fill_null(batch.column(0), "")
-            for a, b in blocks(utf8(texts)[1], PIECE):
-                part = texts.slice(a, b - a).to_pylist()
-                held.append((batch.column(1).slice(a, b - a), [np.fromiter(map(index.__getitem__, _words(t)), np.int32) for t in part]))
-                size += sum(map(len, part))
-                if size > BLOCK:
-                    yield from done()
-        if held:
-            yield from done()
-
-    return run
+class _Block:
+    """Documents that share a table of distinct words."""
+
+    columns = {"block": pa.int64(), "group": pa.int32(), "words": pa.large_string(), "groups": pa.binary(), "places": pa.binary()}
+
+    def __init__(self, number: int):
+        self.number, self.size = number, 0
+        self.index, self.held = _Index(), []
+
+    def add(self, carry: pa.Array, texts: list[str]) -> None:
+        self.held.append((carry, [np.fromiter(map(self.index.__getitem__, _words(t)), np.int32) for t in texts]))
+        self.size += sum(map(len, texts))
+
+    def _batch(self, carry: pa.Array, **columns) -> pa.RecordBatch:
+        n = len(carry)
+        columns["block"] = pa.array([self.number] * n, pa.int64())
+        return pa.RecordBatch.from_arrays([*(columns.get(c, pa.nulls(n, kind)) for c, kind in self.columns.items()), carry], [*self.columns, "carry"])
+
+    def rows(self):
+        """A row for each document: the places of its words among the block's, commonest first; a row with the group of each place; and a
+        row for each group: its words in the order of their places."""
+        count = np.bincount(np.concatenate([p for _, places in self.held for p in places]), minlength=len(self.index))
+        order = np.argsort(-count, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        for carry, texts in self.held:
+            yield self._batch(carry, places=pa.array([packed(place[t]).tobytes() for t in texts], pa.binary()))
+        if not self.index:
+            return
+        words, none = list(self.index), pa.nulls(1, self.held[0][0].type)
+        hashes = np.concatenate([h for *_, h, _ in row_word_hashes(pa.array([" ".join(words)], pa.large_string()))])
+        group = (hashes % np.uint64(GROUPS)).astype(np.int64)[order]
+        yield self._batch(none, groups=pa.array([group.astype("<u2").tobytes()], pa.binary()))
+        by_group = np.argsort(group, kind="stable")
+        ends = np.flatnonzero(np.diff(group[by_group], append=-1)) + 1
+        texts = [" ".join([words[i] for i in order[some]]) for some in np.split(by_group, ends[:-1])]
+        none = pa.nulls(len(texts), none.type)
+        yield self._batch(none, group=pa.array(group[by_group[ends - 1]], pa.int32()), words=pa.array(texts, pa.large_string()))
+
+
+def _split(batches):
+    block = _Block(TaskContext.get().partitionId() << 32)
+    for batch in batches:
+        texts = pc.fill_null(batch.column(0), "")
+        for a, b in blocks(utf8(texts)[1], PIECE):
+            block.add(batch.column(1).slice(a, b - a), texts.slice(a, b - a).to_pylist())
+            if block.size > BLOCK:
+                yield from block.rows()
+                block = _Block(block.number + 1)
+    if block.held:
+        yield from block.rows()
 
 
 def _encoded(path: str, width: str):
@@ -199,7 +205,7 @@ def _gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray, at: np.ndar
     return flat[np.repeat(start[at] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
-def _joined(pieces, width: str, with_ids: bool, names: list[str]):
+def _joined(pieces, width: str, with_ids: bool, n_carried: int):
     """Of a block: places become ids by its words' ids, and ids become pieces by the id-to-piece table."""
 
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
@@ -233,13 +239,13 @@ def _joined(pieces, width: str, with_ids: bool, names: list[str]):
             digests.append(as_ids.hexdigest())
             decoded.append(as_text.hexdigest())
             arrays += own
-        carried = docs.column("carry").combine_chunks() if docs.num_rows else None
-        cols = [carried.field(i) for i in range(len(names))] if docs.num_rows else [pa.nulls(0, docs.schema.field("carry").type.field(i).type) for i in range(len(names))]
+        carried = docs.column("carry").combine_chunks()
+        cols = [carried.field(i) for i in range(n_carried)]
         cols += [pa.array(tokens, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
         if with_ids:
             ends = pa.array(np.concatenate([[0], np.cumsum(tokens)]).astype(np.int32), pa.int32())
             cols.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int32), pa.int32())))
-        return pa.table(cols, names=[*(f"c{i}" for i in range(len(names))), "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])])
+        return pa.table(cols, names=[*(f"c{i}" for i in range(n_carried)), "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])])
 
     return run
 
@@ -256,14 +262,14 @@ def coded(docs: DataFrame, path: str | None = None, carry: tuple[str, ...] = ("d
     kinds = [fields[c] for c in carry]
     row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)])
     carried = f"struct<{','.join(f'c{i}:{k}' for i, k in enumerate(kinds))}>"
-    split = docs.select(F.col(f"`{text_col}`").alias("text"), row.alias("carry")).mapInArrow(_split("carry"), f"block long, group int, words string, groups binary, places binary, carry {carried}")
+    split = docs.select(F.col(f"`{text_col}`").alias("text"), row.alias("carry")).mapInArrow(_split, f"block long, group int, words string, groups binary, places binary, carry {carried}")
     split = bucketed(split, "block", "split")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     words = split.where("group IS NOT NULL").select("block", "group", "words").repartition(parts, "group").sortWithinPartitions("group")
     ids = words.mapInArrow(_encoded(path, width), "block long, group int, sizes binary, ids binary")
     places = split.where("group IS NULL").select("block", "groups", "places", "carry")
     schema = ", ".join([*(f"c{i} {k}" for i, k in enumerate(kinds)), "n_tokens long, ids_sha256 string, decoded_sha256 string", *(["ids array<int>"] if with_ids else [])])
-    out = places.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_joined(sent, width, with_ids, list(carry)), schema)
+    out = places.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_joined(sent, width, with_ids, len(carry)), schema)
     return out.withColumnsRenamed({f"c{i}": c for i, c in enumerate(carry)})
 
 

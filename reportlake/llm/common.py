@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import os
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -71,7 +71,8 @@ def _note(spark: SparkSession, path: str) -> None:
 
 def _end() -> None:
     for spark in {id(s): s for s, _ in _written}.values():
-        if spark.sparkContext._jsc is not None:
+        # a session that has stopped, or whose JVM is gone, can delete nothing more
+        with contextlib.suppress(Exception):
             release(spark)
 
 
