@@ -100,17 +100,28 @@ class Backend:
 class StubBackend(Backend):
     """Answers from the report's words and length alone, in the grammar's form."""
 
+    def __init__(self, folder: str | None = None):
+        super().__init__(folder)
+        self.finding, self.last = re.compile(any_of(FOR), re.ASCII), (None, None)
+
+    def found(self, report: str) -> str | None:
+        """The first finding; both calls about a report ask for it."""
+        if self.last[0] != report:
+            m = self.finding.search(report.lower())
+            self.last = report, m.group() if m else None
+        return self.last[1]
+
     def answer(self, prompt: str, sampling: Sampling, grammar: str) -> str:
         report = prompt.split("\n\n", 1)[1]
         explain = grammar == EXPLAIN_GRAMMAR
         if explain:
             report, _, told = report.rpartition("\n\n")
-        found = re.search(any_of(FOR), report.lower(), re.ASCII)
+        found = self.found(report)
         four = [4 if found and (len(report) >> i) & 1 else 1 for i in range(4)]
         if not explain:
             return "{" + ", ".join(f'"{k}": {d}' for k, d in zip(LABELS, [*four, max(four)], strict=True)) + "}"
         told = json.loads(told)
-        reason = (found.group() if found else report[:40]).replace('"', "'").replace("\n", " ").replace("\\", "/")
+        reason = (found or report[:40]).replace('"', "'").replace("\n", " ").replace("\\", "/")
         return json.dumps({k: {"decision": told[k], "reasons": [reason]} for k in LABELS}, ensure_ascii=False)
 
 
