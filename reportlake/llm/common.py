@@ -215,34 +215,52 @@ def row_word_hashes(column: pa.Array):
         yield i, j, hashes, np.array([0, len(hashes)])
 
 
-#: log2 of the bits of a map at the most: 8 MB. Bits for each value while there are fewer.
-LARGEST_MAP, BITS_A_VALUE = 26, 16
+#: log2 of the bits of a map at the most: 8 MB. Bits for each value while there are fewer. Values that a map may list, at the most: 4 MB.
+LARGEST_MAP, BITS_A_VALUE, LISTED = 26, 64, 1 << 19
 
 
 class BitMap:
-    """Which values are wanted, as bits under a hash: a value that is wanted is always on, others seldom. It travels as a broadcast."""
+    """Which values are wanted, as bits under a hash: a value that is wanted is always on, others seldom, and never where the map lists its
+    values too. It travels as a broadcast."""
 
-    def __init__(self, size: int, bits: bytes):
-        self.size, self.bits = size, bits
+    def __init__(self, size: int, bits: bytes, listed: np.ndarray | None = None):
+        self.size, self.bits, self.listed = size, bits, listed
 
     def holds(self, values: np.ndarray) -> np.ndarray:
         cell = _cells(values, self.size)
-        return (np.frombuffer(self.bits, np.uint8)[cell >> 3] >> (cell & 7) & 1).astype(bool)
+        on = (np.frombuffer(self.bits, np.uint8)[cell >> 3] >> (cell & 7) & 1).astype(bool)
+        if self.listed is not None and len(self.listed):
+            some = np.flatnonzero(on)
+            wanted = np.asarray(values).view(np.int64)[some]
+            at = np.minimum(np.searchsorted(self.listed, wanted), len(self.listed) - 1)
+            on[some] = self.listed[at] == wanted
+        return on
 
 
 def _cells(values: np.ndarray, size: int) -> np.ndarray:
     return (mix64(np.array(values).view(np.uint64)) >> np.uint64(64 - size)).astype(np.int64)
 
 
-def bit_map(values: DataFrame, n: int, most: int = LARGEST_MAP) -> BitMap:
-    """The map of a column of n longs. Each task folds its values into words of 64 bits, so no more words than the map has reach the driver."""
-    size = min(max(16, int(np.ceil(np.log2(max(n, 1) * BITS_A_VALUE)))), most)
+def _bits(values: np.ndarray, size: int) -> np.ndarray:
+    on = np.zeros(1 << size, np.uint8)
+    on[_cells(values, size)] = 1
+    return np.packbits(on, bitorder="little")
+
+
+def bit_map(values: DataFrame, n: int, listed: bool = False) -> BitMap:
+    """The map of a column of n distinct longs. listed: up to LISTED values go along, so that the map is exact.
+
+    Otherwise each task folds its values into words of 64 bits, so no more words than the map has reach the driver.
+    """
+    size = min(max(16, int(np.ceil(np.log2(max(n, 1) * BITS_A_VALUE)))), LARGEST_MAP)
+    if listed and n <= LISTED:
+        found = np.sort(values.distinct().toArrow().column(0).to_numpy())
+        return BitMap(size, _bits(found, size).tobytes(), found)
 
     def run(batches):
-        on = np.zeros(1 << size, np.uint8)
+        words = np.zeros(1 << (size - 6), np.int64)
         for batch in batches:
-            on[_cells(batch.column(0).to_numpy(zero_copy_only=False), size)] = 1
-        words = np.packbits(on, bitorder="little").view(np.int64)
+            words |= _bits(batch.column(0).to_numpy(zero_copy_only=False), size).view(np.int64)
         at = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(words[at])], ["at", "bits"])
 

@@ -9,7 +9,7 @@ Terms that reach SHARE of the entity's information in SUPPORT different windows
 
 Only mentions with their windows are joined and counted between tasks; the corpus itself is read three times: for
 mentions, for the counts of the terms in question and for the places of the terms that disclose, the
-last two found through a map of bits of bounded size (a full map costs work, no results).
+last two found through a map of bits of bounded size. Up to half a million terms the map is exact; beyond, the joins after it are.
 
 Defined results: a null text counts as empty. A match that fails its check is dropped and the search goes on
 after it. Spans are in code points, ends exclusive; kinds may overlap. Rows that repeat give repeated rows. Extra columns are
@@ -283,7 +283,7 @@ def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     pairs = stored(pairs, "pairs")
     terms, asked = None, pairs.agg(F.count_distinct("term")).first()[0]
     if asked:
-        bits = docs.sparkSession.sparkContext.broadcast(bit_map(pairs.select("term"), asked))
+        bits = docs.sparkSession.sparkContext.broadcast(bit_map(pairs.select("term"), asked, listed=True))
         weighted = rows.select("row.h", "text").join(copies, "h", "left").select("text", (1.0 / F.coalesce("m", F.lit(1))).alias("weight"))
         by_term = weighted.mapInArrow(_text_counts(bits), "term long, n double").groupBy("term").agg(F.round(F.sum("n")).alias("nt"))
         by_entity = each.select("entity", "h").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("nc"))
@@ -292,7 +292,7 @@ def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         shared = F.log(F.col("nct") * F.lit(float(n)) / (F.col("nc") * F.col("nt")))
         known = both.where((F.col("nc") < n) & (shared >= SHARE * F.log(F.lit(float(n)) / F.col("nc")))).select("term").distinct()
         known = stored(known, "known")
-        bits = docs.sparkSession.sparkContext.broadcast(bit_map(known, known.count()))
+        bits = docs.sparkSession.sparkContext.broadcast(bit_map(known, known.count(), listed=True))
         hits = rows.mapInArrow(_occurrences(bits), f"row struct<doc_id:{kind},h:long>, term long, start int, stop int")
         hits = hits.join(known, "term", "left_semi").select("row.doc_id", "row.h", "start", "stop").distinct()
         terms = hits.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct(F.lit(KINDS.index("term")).alias("kind"), "start", "stop"))).alias("terms"))

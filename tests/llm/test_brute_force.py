@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from reportlake.llm import capfilters, langid, minhash, pii, quality, trees
+from reportlake.llm import capfilters, common, langid, minhash, pii, quality, trees
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -247,6 +247,18 @@ def test_codes_reach_their_recall_or_say_so(monkeypatch):
         capfilters.Codes(8, 100, 0.9)
 
 
+def test_maps_hold_what_is_wanted(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    wanted, others = (rng.integers(-(2**63), 2**63 - 1, n) for n in (3000, 200_000))
+    df = spark.createDataFrame([(int(x),) for x in [*wanted, *wanted[:50]]], "v long").repartition(5)
+    exact, loose = common.bit_map(df, 3000, listed=True), common.bit_map(df, 3000)
+    assert exact.holds(wanted).all() and loose.holds(wanted).all() and exact.holds(wanted.view(np.uint64)).all()
+    assert not exact.holds(others).any() and 0 < loose.holds(others).sum() < len(others) / 40
+    monkeypatch.setattr(common, "LISTED", 0)
+    assert common.bit_map(df, 3000, listed=True).listed is None
+    assert not common.bit_map(df.limit(0), 0).holds(others).any() and not common.bit_map(df.limit(0), 0, listed=True).holds(others).any()
+
+
 def test_sets_of_many_candidates_come_by_a_join(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"a b c d e f g h {i // 2}") for i in range(40)] + [(None, "x")], "id long, text string")
     ids = spark.createDataFrame([(i,) for i in (1, 1, 5, 7)], "id long")
