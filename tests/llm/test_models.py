@@ -7,7 +7,6 @@ import random
 import re
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from reportlake.llm import langid, pii, quality, queries, trees
@@ -64,6 +63,14 @@ def test_model_is_a_distribution():
         assert 0.9 < total <= 1 + 1e-6
 
 
+def test_tables_are_the_models_side_by_side():
+    texts = ["abracadabra abba", "cab dab zebra", "", "ein Haus"]
+    models = [langid.Model(*np.unique(langid.grams([t])[0], return_counts=True)) for t in texts if t]
+    keys = np.unique(langid.grams([*texts, "another zebra, abba!"])[0])
+    side = langid.Tables(models, 20).log_shares(keys)
+    assert np.allclose(side, np.stack([m.log_shares(keys, 20) for m in models], 1), rtol=1e-6)
+
+
 def test_grams_of_texts_are_apart():
     together = langid.grams(["Ab c", "", "x"])
     assert [list(together[0][together[1] == i]) for i in range(3)] == [list(langid.grams([t])[0]) for t in ("Ab c", "", "x")]
