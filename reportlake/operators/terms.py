@@ -24,16 +24,21 @@ def ngrams(tokens: Column, longest: int) -> Column:
     return F.concat(tokens, *[of(n) for n in range(2, longest + 1)]) if longest > 1 else tokens
 
 
+def each_term(rows: DataFrame, keep: list[str], terms_: Column) -> DataFrame:
+    """keep and `term`, a row for each term. The outer form: from the inner one the planner infers a filter that splits every text once more."""
+    return rows.select(*keep, F.explode_outer(terms_).alias("term")).where("term IS NOT NULL")
+
+
 def term_counts(docs: DataFrame, stop: list[str], longest: int = 1) -> DataFrame:
     """report_id, term, n."""
     tokens = docs.select("report_id", kept_terms(F.col("report"), stop).alias("t"))
-    return tokens.select("report_id", F.explode(ngrams(F.col("t"), longest)).alias("term")).groupBy("report_id", "term").agg(F.count(F.lit(1)).alias("n"))
+    return each_term(tokens, ["report_id"], ngrams(F.col("t"), longest)).groupBy("report_id", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def vocabulary(docs: DataFrame, stop: list[str], size: int, longest: int = 1) -> DataFrame:
     """The commonest terms of the corpus: term, n, idx (place in the alphabet). Ties go to the first in the alphabet."""
     tokens = docs.select(kept_terms(F.col("report"), stop).alias("t"))
-    counts = tokens.select(F.explode(ngrams(F.col("t"), longest)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    counts = each_term(tokens, [], ngrams(F.col("t"), longest)).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     return _commonest(counts, size)
 
 
