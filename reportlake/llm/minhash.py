@@ -86,6 +86,13 @@ def shingle_sets(column: pa.Array, k: int):
                     yield all_[:0]
 
 
+def banded(signatures: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each band of each signature, told apart by the band's number."""
+    with np.errstate(over="ignore"):
+        rows = signatures.astype(np.uint64).reshape(-1, BANDS, ROWS)
+        return mix64((rows * _places(ROWS)).sum(2) + mix64(np.arange(1, BANDS + 1, dtype=np.uint64))).view(np.int64)
+
+
 def _signed(k: int):
     def run(batches):
         for batch in batches:
@@ -97,9 +104,9 @@ def _signed(k: int):
                     prints.append(blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                     if len(s):
                         signs.append(signature(s))
-                    lens.append(lens[-1] + COORDINATES * bool(len(s)))
-                flat = pa.array(np.concatenate(signs) if signs else np.zeros(0, np.int32), pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.ListArray.from_arrays(pa.array(lens, pa.int32()), flat)], ["id", "n", "print", "sign"])
+                    lens.append(lens[-1] + BANDS * bool(len(s)))
+                bands = pa.array(banded(np.stack(signs)).ravel() if signs else np.zeros(0, np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.ListArray.from_arrays(pa.array(lens, pa.int32()), bands)], ["id", "n", "print", "bands"])
 
     return run
 
@@ -225,12 +232,11 @@ def _apart(met: DataFrame, links: DataFrame, reps: DataFrame, sets: DataFrame, p
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (least id reachable), kept. Links: similarity of at least percent / 100."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = stored(docs.mapInArrow(_signed(k), "id long, n long, print binary, sign array<int>"), "signatures")
-    first = signed.where("print IS NOT NULL AND id IS NOT NULL").groupBy("print").agg(F.min(F.struct("id", "n", "sign")).alias("r"))
-    reps = stored(first.select("print", F.col("r.id").alias("rep"), "r.n", "r.sign"), "sets_of_copies")
+    signed = stored(docs.mapInArrow(_signed(k), "id long, n long, print binary, bands array<long>"), "signatures")
+    first = signed.where("print IS NOT NULL AND id IS NOT NULL").groupBy("print").agg(F.min(F.struct("id", "n", "bands")).alias("r"))
+    reps = stored(first.select("print", F.col("r.id").alias("rep"), "r.n", "r.bands"), "sets_of_copies")
 
-    band = lambda i: F.xxhash64(i, F.slice("sign", i * ROWS + 1, F.lit(ROWS)))
-    buckets = reps.select(F.col("rep").alias("id"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("bucket"))
+    buckets = reps.select(F.col("rep").alias("id"), F.explode("bands").alias("bucket"))
     crowds = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = stored(buckets.join(crowds, "bucket"), "members")
     # the head of a bucket is its most central member: the one that meets most others over all its buckets
