@@ -145,7 +145,8 @@ class _Block:
         if not self.index:
             return
         words, none = list(self.index), pa.nulls(1, self.held[0][0].type)
-        hashes = np.concatenate([h for *_, h, _ in row_word_hashes(pa.array([" ".join(words)], pa.large_string()))])
+        some = (" ".join(words[a : a + 10_000]) for a in range(0, len(words), 10_000))
+        hashes = np.concatenate([h for text in some for *_, h, _ in row_word_hashes(pa.array([text], pa.large_string()))])
         group = (hashes % np.uint64(GROUPS)).astype(np.int64)[order]
         yield self._batch(none, groups=pa.array([group.astype("<u2").tobytes()], pa.binary()))
         by_group = np.argsort(group, kind="stable")
