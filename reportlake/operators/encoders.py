@@ -6,6 +6,7 @@ not those of any language model. OnnxEncoder runs a model that lies in a local f
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -54,9 +55,10 @@ class HashingEncoder(TextEncoder):
     def encode_batch(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim), np.float32)
         for i, t in enumerate(texts):
-            for w in t.lower().split():
-                h = crc32(w.encode())
-                out[i, h % self.dim] += 1 if h >> 31 else -1
+            words = Counter(t.lower().split())
+            h = np.fromiter((crc32(w.encode()) for w in words), np.uint32, len(words))
+            n = np.fromiter(words.values(), np.float64, len(words))
+            out[i] = np.bincount(h % self.dim, np.where(h >> 31, n, -n), self.dim)
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norm == 0, 1, norm)
 

@@ -31,14 +31,19 @@ LEAST_ALIKE = 0.53
 
 def instances(long: DataFrame) -> DataFrame:
     """Positive decisions of long(report_id, category, decision, reason, report_text), with the normalised report and
-    phrases, whether the reason is blank, and whether a phrase stands in the report (`direct`)."""
+    phrases, whether the reason is blank, and whether a phrase stands in the report (`direct`).
+
+    A table that has `report_norm` already, made once a report before the categories were set apart, is spared the work.
+    """
 
     def facts(report: Column) -> Column:
         found = F.filter(F.transform(phrases(F.col("reason")), normalized), lambda p: p != "")
         return let(found, lambda ph: F.struct(report.alias("report_norm"), ph.alias("phrases"), is_blank(F.col("reason")).alias("blank"), F.exists(ph, lambda p: contains_phrase(report, p)).alias("direct")))
 
+    report = F.col("report_norm") if "report_norm" in long.columns else normalized(F.col("report_text"))
+    rest = [F.col(f"`{c}`") for c in long.columns if c != "report_norm"]
     # a generator of one row: texts are normalised once, however often the stages look at them
-    return long.where(F.col("decision").isin(3, 4)).select("*", F.inline(F.array(let(normalized(F.col("report_text")), facts))))
+    return long.where(F.col("decision").isin(3, 4)).select(*rest, F.inline(F.array(let(report, facts))))
 
 
 def told_reason() -> Column:

@@ -218,8 +218,13 @@ INSTANCES = f"""{LONG_SQL}, inst AS (SELECT report_id, category, reason, trim(re
 audit AS (SELECT report_id, category, CASE WHEN blank THEN '{NO_REASON_GIVEN}' ELSE reason END AS reason, NOT blank AND coalesce(list_bool_or(list_transform(ph, lambda x: contains(rn, x))), false) AS matched FROM inst)"""
 
 
+def _audit_rows(spark, sf_dir):
+    """Reports are normalised before their categories are set apart."""
+    return long_rows(spark, sf_dir, report_norm=text.normalized(F.col("report"))).withColumnRenamed("report", "report_text")
+
+
 def _instances(spark, sf_dir):
-    return factuality.instances(long_rows(spark, sf_dir).withColumn("report_text", F.col("report")))
+    return factuality.instances(_audit_rows(spark, sf_dir))
 
 
 @query(f"WITH {INSTANCES} SELECT * FROM audit")
@@ -235,16 +240,15 @@ def factuality_summary(spark, sf_dir):
 @query()
 def factuality_fuzzy(spark, sf_dir):
     """Reasons here are worded like their whole reports, with every twelfth word left out and the others in reverse order, so that the second stage decides."""
-    rows = long_rows(spark, sf_dir).withColumn("report_text", F.col("report"))
-    words = F.filter(F.split("report", " "), lambda w, i: i % 12 != 11)
+    rows = _audit_rows(spark, sf_dir)
+    words = F.filter(F.split("report_text", " "), lambda w, i: i % 12 != 11)
     rows = rows.withColumn("reason", F.array_join(F.reverse(words), " "))
     return factuality.fuzzy_stage(factuality.instances(rows))
 
 
 @query()
 def factuality_audit(spark, sf_dir):
-    rows = long_rows(spark, sf_dir).withColumn("report_text", F.col("report"))
-    return factuality.audited(rows, encoders.encoder("hashing"))
+    return factuality.audited(_audit_rows(spark, sf_dir), encoders.encoder("hashing"))
 
 
 #: Every instance's reason by its number: words of the report in reverse order, the report itself, other words, or nothing.

@@ -35,9 +35,10 @@ def bank(i: Column) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in BANK]), (i % len(BANK) + 1).cast("int"))
 
 
-def long_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, report_id, report, c, category, decision, reason."""
-    rows = reports(spark, sf_dir).select("*", F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.lit(c).alias("category")) for i, c in enumerate(CATEGORIES)])).alias("p")).select("doc_id", "report_id", "report", "p.*")
+def long_rows(spark: SparkSession, sf_dir: str, **facts: Column) -> DataFrame:
+    """doc_id, report_id, report, facts of the report, c, category, decision, reason."""
+    kinds = F.array(*[F.struct(F.lit(i).alias("c"), F.lit(c).alias("category")) for i, c in enumerate(CATEGORIES)])
+    rows = reports(spark, sf_dir).withColumns(facts).select("*", F.explode(kinds).alias("p")).select("doc_id", "report_id", "report", *facts, "p.*")
     d, c = F.col("doc_id"), F.col("c")
     own = F.translate(F.replace(F.substring("report", 11, 40), F.lit("."), F.lit(" - ")), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
     two = F.concat(bank(d + c), F.lit("; "), bank(d * 3 + c))
