@@ -253,7 +253,8 @@ def factuality_audit(spark, sf_dir):
 
 #: Every instance's reason by its number: words of the report in reverse order, the report itself, other words, or nothing.
 STAGED = """words AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS report_id, text AS report, replace(text, ';', ' ') AS flat FROM documents),
-staged AS (SELECT report_id, 'Abnormality' AS category, report, CASE doc_id % 4 WHEN 0 THEN array_to_string(list_reverse(string_split(flat, ' ')), ' ') WHEN 1 THEN flat WHEN 2 THEN 'qqqq zzzz; xxxx' END AS reason FROM words)"""
+staged AS (SELECT report_id, 'Abnormality' AS category, report, 
+  CASE doc_id % 4 WHEN 0 THEN array_to_string(list_reverse(string_split(flat, ' ')), ' ') WHEN 1 THEN flat WHEN 2 THEN 'qqqq zzzz; xxxx' END AS reason FROM words)"""
 
 
 @query(f"""WITH {STAGED}, n AS (SELECT *, {normalized_sql("report")} AS rn, list_filter(list_transform(string_split(coalesce(reason, ''), ';'), lambda x: {normalized_sql("x")}), lambda x: x <> '') AS ph FROM staged),
