@@ -12,6 +12,12 @@ def _least(e: DataFrame) -> DataFrame:
     return e.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
 
 
+def _stars(e: DataFrame) -> bool:
+    """Whether every node has one lesser neighbour at the most, and none that has one is itself such a neighbour."""
+    ends = e.select("u", F.lit(1).alias("leaf"), F.lit(0).alias("centre")).unionByName(e.select(F.col("v").alias("u"), F.lit(0).alias("leaf"), F.lit(1).alias("centre")))
+    return ends.groupBy("u").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre")).where("leaf > 1 OR leaf = 1 AND centre = 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges(a, b) to (node, component): the smallest node reachable, for every node that has an edge and isn't its own component.
 
@@ -23,9 +29,8 @@ def components(edges: DataFrame) -> DataFrame:
     spark, at = edges.sparkSession, mark()
     pick = lambda df: df.where("u <> v").distinct()
     now = stored(pick(edges.where("a IS NOT NULL AND b IS NOT NULL").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))), "edges")
-    # v < u in all of `now`
-    state = None
-    while True:
+    # v < u in all of `now`, so stars have the least node of their component at the centre
+    while not _stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = pick(large)
@@ -33,7 +38,4 @@ def components(edges: DataFrame) -> DataFrame:
         small = ends.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         now = stored(pick(small), "small")
         forget(spark, at)
-        new = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if new == state or not new[0]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        state = new
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
