@@ -50,6 +50,6 @@ def sorted_tokens(c: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two arrays, in double precision."""
+    """Cosine of two arrays, in double precision; null where one of them is zero."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))

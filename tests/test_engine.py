@@ -212,6 +212,15 @@ def test_factuality(spark):
     assert near.where("matched").count() >= 2
 
 
+def test_audit_where_a_vector_is_zero(spark):
+    """A report without words has the zero vector, and so has a phrase whose words' signed counts cancel out: no cosine, and so no match."""
+    lone = next(f"w{i} w{j}" for i in range(200) for j in range(i) if not encoders.encoder("hashing").encode_batch([f"w{i} w{j}"]).any())
+    rows = [("1", "A", 4, "sharp waves", ""), ("2", "A", 3, "sharp waves", " ... !"), ("3", "A", 3, "sharp waves", None), ("4", "A", 4, lone, "sharp waves seen over the left temporal region"), ("5", "A", 4, f"{lone}; over region sharp left waves", "sharp waves over the left region of it")]
+    long = spark.createDataFrame(rows, "report_id string, category string, decision int, reason string, report_text string")
+    got = {r.report_id: (r.matched, r.stage) for r in factuality.audited(long, encoders.encoder("hashing")).collect()}
+    assert [got[k] for k in "1234"] == [(False, None)] * 4 and got["5"][0]
+
+
 def test_hashing_encoder_reads_whole_texts():
     near, far = encoders.encoder("hashing").encode_batch(["same " * 600, "same " * 600 + "other words " * 400])
     assert near @ far < 0.95
