@@ -5,7 +5,7 @@ n-grams of order ORDER of all its labelled texts and sends one row for each dist
 them up over the whole corpus. From these counts the driver derives every lower order's continuation counts,
 absolute discounts and back-off weights, and stores them in arrays sorted by the n-gram's 64-bit key (16 bits for
 each character, so keys don't collide). A text's score under a language is its cross-entropy a character; the
-lowest wins. Rejection is calibrated on labelled texts: how far their cross-entropies spread around the mean of
+lowest wins. Rejection is calibrated on all labelled texts: how far their cross-entropies spread around the mean of
 their language, for their length. The score is the best language's share of the likelihood over 50 characters at the most; that of a
 rejected text is lowered to 1 - BLIND or less.
 
@@ -30,8 +30,6 @@ from pyspark.sql import functions as F
 from reportlake.llm.common import stored
 
 ORDER = 4
-#: Labelled texts that calibrate the rejection, about; they are drawn by a hash of the id.
-CALIBRATION = 6_000
 #: A text is rejected beyond so many spreads from its language's mean, if that is also so far on the way from the mean to guessing
 #: blindly among all symbols; and characters above which a text's length no longer matters.
 SPREADS, BLIND, LONG = 12.0, 0.6, 400
@@ -204,8 +202,8 @@ def _looked_up(table: tuple[np.ndarray, ...], wanted: np.ndarray, n: int, other:
 
 
 def learned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict:
-    """Models and calibration from docs, all rows of which are labelled."""
-    docs = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
+    """Models and calibration, both from all labelled rows of docs; ids aren't read."""
+    docs = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     counts = docs.select("lang", "text").mapInArrow(_count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     counts = stored(counts, "counts")
     facts = counts.groupBy("lang").agg(F.sum(F.when(F.col("key") == -1, F.col("n")).otherwise(0)).alias("texts"), F.sum(F.when(F.col("key") != -1, F.col("n")).otherwise(0)).alias("chars"))
@@ -217,13 +215,11 @@ def learned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         kept = counts.where((F.col("lang") == lang) & (F.col("key") != -1)).select("key", "n").toArrow()
         models.append(Model(kept.column("key").to_numpy().view(np.uint64), kept.column("n").to_numpy()))
     model = {"langs": langs, "models": models, "symbols": max(m.symbols for m in models), "mean": [0.0] * len(langs), "spread": [1.0] * len(langs)}
-    share = CALIBRATION / sum(t for t, _ in facts.values())
-    drawn = docs.where(F.pmod(F.xxhash64("id", F.lit("calibration")), F.lit(1 << 30)) < share * (1 << 30))
-    scored = _scored(drawn, model, ["lang"]).where("lang = lang_pred")
-    own = scored.groupBy("lang").agg(F.avg("bits").alias("mean"))
-    off = scored.join(F.broadcast(own), "lang").groupBy("lang", "mean").agg(F.sqrt(F.avg(F.pow(F.col("bits") - F.col("mean"), 2) * F.least("chars", F.lit(LONG)))).alias("spread"))
-    for r in off.collect():
-        model["mean"][langs.index(r.lang)], model["spread"][langs.index(r.lang)] = r.mean, max(r.spread, 0.5)
+    w, b = F.least("chars", F.lit(LONG)), F.col("bits")
+    sums = _scored(docs, model, ["lang"]).where("lang = lang_pred").groupBy("lang").agg(F.avg(b).alias("mean"), F.avg(w).alias("w"), F.avg(w * b).alias("wb"), F.avg(w * b * b).alias("wbb"))
+    for r in sums.collect():
+        # the mean of w (bits - mean)^2, from sums of one pass
+        model["mean"][langs.index(r.lang)], model["spread"][langs.index(r.lang)] = r.mean, max(max(r.wbb - 2 * r.mean * r.wb + r.mean**2 * r.w, 0) ** 0.5, 0.5)
     return model
 
 

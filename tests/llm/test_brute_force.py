@@ -83,6 +83,20 @@ def test_rejected_texts_score_low(spark):
     assert noise.rejected and noise.score <= 0.4 and not known.rejected and known.score > 0.99
 
 
+def test_rejection_is_calibrated_on_all_labelled_texts(spark):
+    rng = random.Random(11)
+    bank = {"a": ["haus", "baum", "gras", "ziel"], "b": ["house", "tree", "grass", "goal"]}
+    rows = [(i, " ".join(rng.choices(bank["ab"[i % 2]] + ["".join(rng.choices("bcdfgjkqvwxyz", k=9))], k=rng.randint(3, 20))), "ab"[i % 2]) for i in range(9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learned(docs)
+    scored = langid.identified(docs, model).toPandas().sort_values("doc_id")
+    for k, lang in enumerate(model["langs"]):
+        own = scored[(scored.doc_id % 2 == k) & (scored.lang_pred == lang)]
+        assert math.isclose(model["mean"][k], own.bits.mean(), rel_tol=1e-9)
+        off = (own.bits - own.bits.mean()) ** 2 * own.chars.clip(upper=langid.LONG)
+        assert math.isclose(model["spread"][k], max(off.mean() ** 0.5, 0.5), rel_tol=1e-9) and off.mean() > 0.25
+
+
 # ---- quality ----
 
 def tree_of(x, g, h, rows, depth, cuts, least, ridge):
