@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +55,139 @@ def _commonest(counts: DataFrame, size: int) -> DataFrame:
     return top.withColumn("idx", F.row_number().over(Window.orderBy("term")) - 1)
 
 
+#: Tokens that a task works on together; tokens of the corpus to a part of the n-grams, about.
+TOKENS, PART = 1 << 20, 500_000
+
+
+def frequent_ngrams(docs: DataFrame, stop: list[str], longest: int, least: int) -> DataFrame:
+    """term, n of every n-gram of 1 to `longest` tokens that occurs `least` times or more in the corpus; exact.
+
+    A frequent n-gram has frequent words only, so words are counted first and those that are frequent are numbered, commonest first. They
+    travel as a broadcast. Each task then packs its pairs of numbers, and its runs of up to `longest` numbers (which begin with all
+    shorter n-grams), each different one once with its count, sorted and compressed, into a block for each part. Pairs are dealt
+    to parts by both their words and runs by their first three, so that a common word or pair isn't one part's work.
+    """
+    spark = docs.sparkSession
+    tokens = docs.select(kept_terms(F.col("report"), stop).alias("t"))
+    words = each_term(tokens, [], F.col("t")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    if longest == 1:
+        return words
+    words = words.toArrow()
+    words = words.take(pc.sort_indices(words, [("n", "descending"), ("term", "ascending")])).combine_chunks()
+    given = spark.sparkContext.broadcast((words.column("term").combine_chunks(), words.column("n").to_numpy()))
+    parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(pc.sum(words.column("n")).as_py() or 0) // PART))
+
+    def single(batches):
+        term, n = given.value
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                own = slice(k * len(term) // parts, (k + 1) * len(term) // parts)
+                yield pa.RecordBatch.from_arrays([term[own], pa.array(n[own], pa.int64())], ["term", "n"])
+
+    def pack(batches):
+        held, size = [], 0
+        for batch in batches:
+            lists = batch.column(0)
+            flat = pc.index_in(pc.list_flatten(lists), value_set=given.value[0]).fill_null(-1).to_numpy(zero_copy_only=False)
+            lens = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            # numbers from 1; 0 stands for rare words and after each text
+            s = np.zeros(len(flat) + len(lens), np.uint64)
+            s[np.arange(len(flat)) + np.repeat(np.arange(len(lens)), lens)] = flat + 1
+            held, size = [*held, s], size + len(s)
+            if size >= TOKENS:
+                yield from _packed(np.concatenate(held), longest, parts)
+                held, size = [], 0
+        if held:
+            yield from _packed(np.concatenate(held), longest, parts)
+
+    def total(table: pa.Table) -> pa.Table:
+        found = []
+        for length in {*table.column("length").to_pylist()}:
+            own = table.filter(pc.equal(table.column("length"), length))
+            found += _totals([x.as_py() for x in own.column("data")], length, least)
+        term = given.value[0]
+        named = [(pc.binary_join_element_wise(*[term.take(pa.array(c.astype(np.int64) - 1)) for c in columns], " "), pa.array(n, pa.int64())) for columns, n in found if len(n)]
+        return pa.concat_tables([pa.table([pa.array([], pa.string()), pa.array([], pa.int64())], ["term", "n"]), *(pa.table(list(x), ["term", "n"]) for x in named)])
+
+    blocks = tokens.mapInArrow(pack, "part int, length int, data binary")
+    return spark.range(parts).mapInArrow(single, "term string, n long").unionByName(blocks.groupBy("part").applyInArrow(total, "term string, n long"))
+
+
+def _runs(s: np.ndarray, length: int) -> list[np.ndarray]:
+    """Numbers of the runs that begin at each place of s, two to a key; what follows a 0 is 0."""
+    columns, open_ = [], np.ones(len(s), bool)
+    for k in range(length):
+        c = np.zeros(len(s), np.uint64)
+        c[: max(len(s) - k, 0)] = s[k:]
+        open_ &= c != 0
+        columns.append(np.where(open_, c, np.uint64(0)))
+    columns += [np.zeros(len(s), np.uint64)] * (length % 2)
+    return [columns[k] << np.uint64(32) | columns[k + 1] for k in range(0, len(columns), 2)]
+
+
+def _column(keys: list[np.ndarray], k: int) -> np.ndarray:
+    return keys[k // 2] >> np.uint64(32) if k % 2 == 0 else keys[k // 2] & np.uint64(0xFFFFFFFF)
+
+
+def _summed(keys: list[np.ndarray], n: np.ndarray, first: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
+    """Each different row of keys once, in order (that of `first` before theirs), with the sum of n."""
+    order = np.lexsort([*reversed(keys), *reversed(first)])
+    keys, n, first = [x[order] for x in keys], n[order], [x[order] for x in first]
+    heads = np.ones(len(n), bool)
+    if len(n):
+        heads[1:] = np.any([x[1:] != x[:-1] for x in keys], axis=0)
+    at = np.flatnonzero(heads)
+    return [x[at] for x in keys], np.add.reduceat(n, at) if len(at) else n, [x[at] for x in first]
+
+
+def _packed(s: np.ndarray, longest: int, parts: int):
+    """Blocks (part, length of runs, data) of a stream of numbers: pairs, and longer runs."""
+    for length in sorted({2, longest}):
+        keys = _runs(s, length)
+        some = np.flatnonzero(_column(keys, min(length, 3) - 1))
+        keys = [x[some] for x in keys]
+        with np.errstate(over="ignore"):
+            h = keys[0] * np.uint64(0x9E3779B97F4A7C15) + (_column(keys, 2) if length > 2 else np.uint64(0))
+            h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+        part = (h >> np.uint64(33)) % np.uint64(parts)
+        keys, n, (part,) = _summed(keys, np.ones(len(some), np.int64), [part])
+        cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else part
+        ends = np.append(cuts[1:], len(part))
+        data = [_block([x[a:b] for x in keys], n[a:b]) for a, b in zip(cuts, ends, strict=False)] if len(part) else []
+        if data:
+            yield pa.RecordBatch.from_arrays([pa.array(part[cuts].astype(np.int32)), pa.array(np.full(len(cuts), length, np.int32)), pa.array(data, pa.binary())], ["part", "length", "data"])
+
+
+def _block(keys: list[np.ndarray], n: np.ndarray) -> bytes:
+    """Rows as bytes: the first key as differences, all arrays by the place of the byte, so that alike bytes stand together."""
+    arrays = [np.diff(keys[0], prepend=np.uint64(0)), *keys[1:], n.view(np.uint64)]
+    raw = b"".join(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes() for x in arrays)
+    return len(n).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+
+
+def _rows(block: bytes, count: int) -> list[np.ndarray]:
+    rows = int.from_bytes(block[:8], "little")
+    raw = np.frombuffer(pa.Codec("zstd", 1).decompress(block[8:], 8 * rows * count, asbytes=True), np.uint8).reshape(count, 8, rows)
+    arrays = [np.ascontiguousarray(x.T).view(np.uint64).ravel() for x in raw]
+    return [np.cumsum(arrays[0], dtype=np.uint64), *arrays[1:]]
+
+
+def _totals(blocks: list[bytes], length: int, least: int) -> list[tuple[list[np.ndarray], np.ndarray]]:
+    """For each number of words that blocks of this length count: the columns of the n-grams that are frequent, and how often they occur."""
+    arrays = [np.concatenate(x) for x in zip(*(_rows(b, (length + 1) // 2 + 1) for b in blocks), strict=True)]
+    keys, n, _ = _summed(arrays[:-1], arrays[-1].view(np.int64), [])
+    columns, out = [_column(keys, k) for k in range(length)], []
+    for size in range(min(length, 3), length + 1):
+        whole = np.flatnonzero(columns[size - 1])
+        own, m = [c[whole] for c in columns[:size]], n[whole]
+        if len(m):
+            at = np.flatnonzero(np.append(True, np.any([c[1:] != c[:-1] for c in own], axis=0)))
+            sums = np.add.reduceat(m, at)
+            often = sums >= least
+            out.append(([c[at[often]] for c in own], sums[often]))
+    return out
+
+
 #: Rows of a table of weights up to which it is broadcast.
 WEIGHTS = 5_000_000
 

@@ -356,7 +356,7 @@ def _grams_sql() -> str:
 
 @query(f"WITH {COUNTS}, g AS ({_grams_sql()}) SELECT term, count(*) AS n FROM g GROUP BY term HAVING count(*) >= 5")
 def ngram_counts(spark, sf_dir):
-    return terms.term_counts(reports(spark, sf_dir), STOP, baseline.LONGEST).groupBy("term").agg(F.sum("n").alias("n")).where("n >= 5")
+    return terms.frequent_ngrams(reports(spark, sf_dir), STOP, baseline.LONGEST, 5)
 
 
 @query(f"""WITH {COUNTS}, v AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS idx FROM (SELECT term FROM counts GROUP BY term ORDER BY sum(n) DESC, term LIMIT 1000))
