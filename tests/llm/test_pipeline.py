@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from reportlake.llm import bpe, langid, mixing
 from reportlake.llm.common import crc_mod5
@@ -80,3 +82,14 @@ def test_clean_documents_stay(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.learned(docs.where(crc_mod5() != 0))
     assert langid.accepted(docs, model).count() >= 0.995 * docs.count()
+
+
+def test_language_stage_learns_from_all_labelled_rows(spark, monkeypatch):
+    rows = [(i, " ".join(f"{'abcdefgh'[i * k % 8]}{'aeiou'[(i + k) % 5]}st" for k in range(1, 3 + i % 9)), "xy"[i % 2], "s", 0) for i in range(9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    used = []
+    monkeypatch.setattr(langid, "accepted", lambda docs, model: used.append(model) or docs)
+    corpus_pipeline.language_id(spark, docs, "")
+    taught = docs.where(crc_mod5() != 0)
+    own = {r.lang: r.mean for r in langid.identified(taught, used[0]).join(taught.select("doc_id", "lang"), "doc_id").where("lang = lang_pred").groupBy("lang").agg(F.avg("bits").alias("mean")).collect()}
+    assert all(abs(used[0]["mean"][k] - own[lang]) < 1e-9 for k, lang in enumerate(used[0]["langs"]))
