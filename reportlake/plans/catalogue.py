@@ -218,9 +218,9 @@ INSTANCES = f"""{LONG_SQL}, inst AS (SELECT report_id, category, reason, trim(re
 audit AS (SELECT report_id, category, CASE WHEN blank THEN '{NO_REASON_GIVEN}' ELSE reason END AS reason, NOT blank AND coalesce(list_bool_or(list_transform(ph, lambda x: contains(rn, x))), false) AS matched FROM inst)"""
 
 
-def _audit_rows(spark, sf_dir):
-    """Reports are normalised before their categories are set apart."""
-    return long_rows(spark, sf_dir, report_norm=text.normalized(F.col("report"))).withColumnRenamed("report", "report_text")
+def _audit_rows(spark, sf_dir, **facts):
+    """Reports are normalised, and other facts of theirs found, before their categories are set apart."""
+    return long_rows(spark, sf_dir, report_norm=text.normalized(F.col("report")), **facts).withColumnRenamed("report", "report_text")
 
 
 def _instances(spark, sf_dir):
@@ -240,9 +240,9 @@ def factuality_summary(spark, sf_dir):
 @query()
 def factuality_fuzzy(spark, sf_dir):
     """Reasons here are worded like their whole reports, with every twelfth word left out and the others in reverse order, so that the second stage decides."""
-    rows = _audit_rows(spark, sf_dir)
-    words = F.filter(F.split("report_text", " "), lambda w, i: i % 12 != 11)
-    rows = rows.withColumn("reason", F.array_join(F.reverse(words), " "))
+    words = F.filter(F.split("report", " "), lambda w, i: i % 12 != 11)
+    rows = _audit_rows(spark, sf_dir, worded=F.array_join(F.reverse(words), " "))
+    rows = rows.drop("reason").withColumnRenamed("worded", "reason")
     return factuality.fuzzy_stage(factuality.instances(rows))
 
 

@@ -7,6 +7,9 @@ import math
 import random
 import re
 import sqlite3
+import string
+import time
+from difflib import SequenceMatcher
 
 import numpy as np
 import pytest
@@ -241,6 +244,33 @@ def test_length_bound_drops_no_match(a, b):
         assert factuality.alike(a, b)
 
 
+def test_matched_is_as_difflib_matches():
+    rng = random.Random(5)
+    kinds = ["ab", "abcdefghij ", string.ascii_lowercase + " " * 6, "eeeeeeeetttttaaaaooonnnniiis    rhqxzjkv0123456789", "".join(map(chr, range(0x4E00, 0x5000))) + "  "]
+    for n in range(400):
+        kind = rng.choice(kinds)
+        b = "".join(rng.choices(kind, k=rng.randint(200, 900)))
+        words = b.split(" ")
+        rng.shuffle(words)
+        a = rng.choice([b[: rng.randint(1, len(b))] + "qx0", " ".join(sorted(words[: 1 + len(words) * 9 // 10])), "".join(rng.choices(kind, k=rng.randint(1, 900))), b.replace(b[5], "")])
+        b = b if n % 2 else " ".join(sorted(b.split(" ")))
+        if len(b) >= factuality.AUTOJUNK:
+            assert factuality.matched(a, b) == sum(x.size for x in SequenceMatcher(None, a, b).get_matching_blocks()), (a, b)
+
+
+def test_ratio_of_long_texts_takes_about_linear_time():
+    rng = random.Random(6)
+    words = ["".join(rng.choices("eeeeeeeetttttaaaaooonnnniiisssrrhhlldcumfpgwybvkxjqz", k=rng.randint(3, 9))) for _ in range(20_000)]
+    began = time.process_time()
+    assert 0 <= factuality.ratio(" ".join(sorted(words[::2] + words[1:18_000:2])), " ".join(sorted(words))) < 100
+    assert time.process_time() - began < 20
+
+
+def test_fuzzy_query_finds_ratios_once(spark):
+    plan = catalogue.QUERIES["factuality_fuzzy"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"ArrowEvalPython", plan)) == 1
+
+
 def test_no_python_before_the_first_stage(spark):
     plan = catalogue.QUERIES["factuality_substring"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
