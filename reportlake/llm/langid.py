@@ -6,7 +6,8 @@ them up over the whole corpus. From these counts the driver derives every lower
 absolute discounts and back-off weights, and stores them in arrays sorted by the n-gram's 64-bit key (16 bits for
 each character, so keys don't collide). A text's score under a language is its cross-entropy a character; the
 lowest wins. Rejection is calibrated on all labelled texts: how far their cross-entropies spread around the mean of
-their language, for their length. The score is the best language's share of the likelihood over 50 characters at the most; that of a
+their language, for their length. Where the rows are in two parts, each part has limits of its own and a text is
+rejected if it is beyond both; a part without texts of a language takes the other's. The score is the best language's share of the likelihood over 50 characters at the most; that of a
 rejected text is lowered to 1 - BLIND or less.
 
 Every n-gram that was counted is in the models, also those seen once, so the models grow with the corpus's distinct
@@ -24,7 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reportlake.llm.common import stored
@@ -201,25 +202,34 @@ def _looked_up(table: tuple[np.ndarray, ...], wanted: np.ndarray, n: int, other:
     return out
 
 
-def learned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict:
-    """Models and calibration, both from all labelled rows of docs; ids aren't read."""
-    docs = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+def learned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", apart: Column | None = None) -> dict:
+    """Models and calibration, both from all labelled rows of docs; ids aren't read.
+
+    apart: whether a row is of the second part, whose limits are `mean_apart` and `spread_apart`; none is by default.
+    """
+    second = F.lit(False) if apart is None else F.coalesce(apart, F.lit(False))
+    docs = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), second.alias("apart"))
     counts = docs.select("lang", "text").mapInArrow(_count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     counts = stored(counts, "counts")
     facts = counts.groupBy("lang").agg(F.sum(F.when(F.col("key") == -1, F.col("n")).otherwise(0)).alias("texts"), F.sum(F.when(F.col("key") != -1, F.col("n")).otherwise(0)).alias("chars"))
     facts = {r.lang: (r.texts, r.chars) for r in facts.collect() if r.chars}
     if not facts:
-        return {"langs": [], "models": [], "symbols": 0, "mean": [], "spread": []}
+        return {"langs": [], "models": [], "symbols": 0, "mean": [], "spread": [], "mean_apart": [], "spread_apart": []}
     langs, models = sorted(facts), []
     for lang in langs:
         kept = counts.where((F.col("lang") == lang) & (F.col("key") != -1)).select("key", "n").toArrow()
         models.append(Model(kept.column("key").to_numpy().view(np.uint64), kept.column("n").to_numpy()))
-    model = {"langs": langs, "models": models, "symbols": max(m.symbols for m in models), "mean": [0.0] * len(langs), "spread": [1.0] * len(langs)}
+    model = {"langs": langs, "models": models, "symbols": max(m.symbols for m in models)}
+    # the rejection isn't read yet
+    nowhere = {"mean": [0.0] * len(langs), "spread": [1.0] * len(langs)}
     w, b = F.least("chars", F.lit(LONG)), F.col("bits")
-    sums = _scored(docs, model, ["lang"]).where("lang = lang_pred").groupBy("lang").agg(F.avg(b).alias("mean"), F.avg(w).alias("w"), F.avg(w * b).alias("wb"), F.avg(w * b * b).alias("wbb"))
-    for r in sums.collect():
-        # the mean of w (bits - mean)^2, from sums of one pass
-        model["mean"][langs.index(r.lang)], model["spread"][langs.index(r.lang)] = r.mean, max(max(r.wbb - 2 * r.mean * r.wb + r.mean**2 * r.w, 0) ** 0.5, 0.5)
+    sums = _scored(docs, model | nowhere | {f"{k}_apart": v for k, v in nowhere.items()}, ["lang", "apart"]).where("lang = lang_pred")
+    sums = sums.groupBy("lang", "apart").agg(F.avg(b).alias("mean"), F.avg(w).alias("w"), F.avg(w * b).alias("wb"), F.avg(w * b * b).alias("wbb"))
+    # the mean of w (bits - mean)^2, from sums of one pass
+    limits = {(r.lang, r.apart): (r.mean, max(max(r.wbb - 2 * r.mean * r.wb + r.mean**2 * r.w, 0) ** 0.5, 0.5)) for r in sums.collect()}
+    for part, name in ((False, ""), (True, "_apart")):
+        own = [limits.get((lang, part)) or limits.get((lang, not part), (0.0, 1.0)) for lang in langs]
+        model["mean" + name], model["spread" + name] = [m for m, _ in own], [s for _, s in own]
     return model
 
 
@@ -230,7 +240,7 @@ def _scored(docs: DataFrame, model: dict, carry: list[str]) -> DataFrame:
 
     def run(batches):
         m = sent.value
-        n_langs, mean, spread = len(m["langs"]), np.array(m["mean"]), np.array(m["spread"])
+        n_langs, mean, spread = len(m["langs"]), np.array([m["mean"], m["mean_apart"]]), np.array([m["spread"], m["spread_apart"]])
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
@@ -252,8 +262,9 @@ def _scored(docs: DataFrame, model: dict, carry: list[str]) -> DataFrame:
                     bits = cross[np.arange(len(texts)), best]
                     size = np.minimum(chars, LONG)
                     score = 1 / np.exp(np.minimum((bits[:, None] - cross) * np.minimum(chars, 50)[:, None], 0)).sum(1)
-                    way = (bits - mean[best]) / np.maximum(np.log(m["symbols"] + 1) - mean[best], 1e-9)
-                    reject = (bits - mean[best] > SPREADS * spread[best] / np.sqrt(size)) & (way > BLIND)
+                    off = bits - mean[:, best]
+                    way = (off / np.maximum(np.log(m["symbols"] + 1) - mean[:, best], 1e-9)).min(0)
+                    reject = (off > SPREADS * spread[:, best] / np.sqrt(size)).all(0) & (way > BLIND)
                     # a rejected text is as sure as it is far from blind guessing
                     score = np.where(reject, score * np.clip(1 - way, 0, 1), score)
                 else:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -93,3 +95,35 @@ def test_language_stage_learns_from_all_labelled_rows(spark, monkeypatch):
     taught = docs.where(crc_mod5() != 0)
     own = {r.lang: r.mean for r in langid.identified(taught, used[0]).join(taught.select("doc_id", "lang"), "doc_id").where("lang = lang_pred").groupBy("lang").agg(F.avg("bits").alias("mean")).collect()}
     assert all(abs(used[0]["mean"][k] - own[lang]) < 1e-9 for k, lang in enumerate(used[0]["langs"]))
+
+
+def test_language_stage_leaves_no_labelled_row_out(spark, monkeypatch):
+    rng = random.Random(4)
+    text = lambda words: " ".join(rng.choices(words, k=40))
+    latin, cyrillic, greek = ["ziel", "haus", "baum", "gras"], ["дом", "лес", "река", "гора"], ["σπίτι", "δάσος", "νερό", "βουνό"]
+    held = [i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 5 == 0][:30]
+    rows = [(i, text(latin), "a", "s", 0) for i in range(60)] + [(i, text(cyrillic), "b", "s", 0) for i in held] + [(None, text(greek), "c", "s", 0) for _ in range(30)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(4)
+    assert corpus_pipeline.language_id(spark, docs, "").count() == len(rows)
+    assert corpus_pipeline.language_id(spark, docs.withColumn("doc_id", F.lit(None).cast("long")), "").count() == len(rows)
+
+    # counts of all rows, and limits of both parts
+    learned, accepted, used = langid.learned, langid.accepted, []
+    monkeypatch.setattr(langid, "accepted", lambda docs, model: used.append(model) or accepted(docs, model))
+    corpus_pipeline.language_id(spark, docs, "")
+    (model,), whole = used, learned(docs)
+    assert model["langs"] == ["a", "b", "c"]
+    for one, other in zip(model["models"], whole["models"], strict=True):
+        assert all((a == b).all() for x, y in zip(one.grams, other.grams, strict=True) for a, b in zip(x, y, strict=True))
+    scored = langid.identified(docs.withColumn("doc_id", F.struct("doc_id", "lang")), model).where("doc_id.lang = lang_pred").select("doc_id.*", "bits").collect()
+    for name, part in (("mean", False), ("mean_apart", True)):
+        own = [r.bits for r in scored if r.lang == "a" and (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) == part]
+        assert own and math.isclose(model[name][0], sum(own) / len(own), rel_tol=1e-9)
+
+
+def test_texts_beyond_one_part_only_stay(spark):
+    docs = spark.createDataFrame([(1, "alpha beta gamma " * 20)], "doc_id long, text string")
+    model = langid.learned(docs.withColumn("lang", F.lit("a")))
+    near, far = {"mean": [-50.0], "spread": [0.5]}, {"mean_apart": model["mean"], "spread_apart": model["spread"]}
+    assert langid.accepted(docs, model | near | far).count() == 1
+    assert langid.accepted(docs, model | near | {f"{k}_apart": v for k, v in near.items()}).count() == 0
